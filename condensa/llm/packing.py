@@ -53,7 +53,7 @@ def _tokens(path: str, end_id: int):
         tail = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             text = batch.column(1)
-            step = max(1, min(1024, int(len(text) * (4 << 20) / max(1, text.nbytes))))
+            step = max(1, int(len(text) * (12 << 20) / max(1, text.nbytes)))
             for i in range(0, len(text), step):
                 ids, counts = enc.encode(text.slice(i, step))
                 raw, ends = ids.tobytes(), np.cumsum(counts) * enc.dtype.itemsize

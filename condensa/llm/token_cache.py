@@ -25,11 +25,11 @@ _ODD = (
     "|[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}][ \\n]"
     "|^[ \\n]|[ \\n]$"
 )
-_END = "<|endoftext|>"
+_END, _MARKS = "<|endoftext|>", (",", ".")
 #: Distinct parts that a worker remembers; beyond it, it starts afresh.
 MOST_PARTS = 1_000_000
 #: UTF-8 bytes of text handled at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 
 class PartTable:
@@ -62,14 +62,15 @@ class PartTable:
         self.at.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     def index(self, parts: list[str]) -> np.ndarray:
-        """Rows of these distinct parts."""
+        """Rows of these parts."""
         if len(self.at) + len(parts) > self._most:
             self._forget()
         rows = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            rows[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self._add([parts[i] for i in new.tolist()])
+            missing = [parts[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            rows[new] = np.fromiter(map(self.at.get, missing), np.int64, len(missing))
         return rows
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
@@ -161,13 +162,21 @@ class CachedEncoder:
         return np.concatenate(ids), np.concatenate(lens)
 
     def encode(self, texts: pa.Array):
-        ids, counts = [], []
+        ids, counts, table = [], [], self._table
         for part in _slices(texts):
             words, number, lens = parts_of(part, self.spaced)
-            rows = self._table.index(words)[number] if len(number) else number
-            ids.append(self._table.gather(rows))
-            ends = np.concatenate([[0], np.cumsum(self._table.lens[rows])])
-            at = np.cumsum(lens)
+            # a comma or full stop after a letter is a piece by itself in both vocabularies
+            tail = [w[-1] if w[-1:] in _MARKS and w[-2:-1].isalpha() else "" for w in words]
+            rows = table.index([w[:-1] if t else w for w, t in zip(words, tail, strict=True)] + list(_MARKS))
+            rows, marks = rows[: len(words)], dict(zip(_MARKS, rows[len(words) :].tolist(), strict=True))
+            after = np.array([marks.get(t, -1) for t in tail], np.int64)
+            if len(number):
+                rows, after = rows[number], after[number]
+            ends = np.cumsum(table.lens[rows] + np.where(after >= 0, table.lens[after], 0))
+            both = np.repeat(rows, 1 + (after >= 0))
+            both[(np.cumsum(1 + (after >= 0)) - 1)[after >= 0]] = after[after >= 0]
+            ids.append(table.gather(both))
+            ends, at = np.concatenate([[0], ends]), np.cumsum(lens)
             counts.append(ends[at] - ends[at - lens])
         none = np.empty(0, np.int64)
         return np.concatenate([np.empty(0, self.dtype), *ids]), np.concatenate([none, *counts])
