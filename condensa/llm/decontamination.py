@@ -3,8 +3,7 @@
 Words are lower-cased runs without white space; features are five-word shingles, or the whole item
 where it is shorter. A window has as many words as the item it may hold. Since a window that reaches
 the similarity shares a shingle with its item, windows are set where a shingle of the benchmark
-occurs, so that the shingle falls on its place in the item; runs of such places give one window.
-Equal windows are one row from then on. Each is SimHashed over its shingles with their counts as
+occurs, so that the shingle falls on its first place in the item. Equal windows are one row from then on. Each is SimHashed over its shingles with their counts as
 weights; the 64 bits are cut into RADIUS + 1 blocks, of which two fingerprints within the radius
 share one. What shares a block and is within the radius is verified by exact weighted Jaccard:
 the sum of smaller counts over the sum of larger ones.
@@ -40,20 +39,9 @@ def shingles_of(words: str, k: int) -> Column:
 
 
 def simhash(hashes: str) -> Column:
-    """Majority bits, with counts in two 32-bit lanes a sum."""
-    one = F.lit(0x0000000100000001)
-
-    def lanes(bit):
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, bit).bitwiseAND(one))
-
-    n, out = F.size(hashes), F.lit(0).cast("long")
-    for bit in range(32):
-        both = lanes(bit)
-        for lane in range(2):
-            count = F.shiftrightunsigned(both, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-            place = 1 << (bit + 32 * lane)
-            out = out.bitwiseOR(F.when(count * 2 > n, F.lit(place - (1 << 64) if place >> 63 else place).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+    """Majority bits of a multiset of hashes."""
+    ones = f"aggregate({hashes}, 0, (c, x) -> c + cast(shiftrightunsigned(x, b) & 1 as int))"
+    return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * {ones} > size({hashes}), shiftleft(1L, b), 0L))")
 
 
 def block_keys(fp: str, blocks: int) -> Column:
@@ -94,20 +82,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     found = None
     for k in sizes:
         own = items.filter(F.col("k") == k).withColumn("ih", shingles_of("w", k)).select("item_id", "len", "ih")
-        places = own.select("item_id", "len", F.posexplode("ih").alias("off", "h")).groupBy("item_id", "len", "h").agg(F.min("off").alias("off"))
-        ahead = places.select("item_id", F.col("h").alias("before"), (F.col("off") + 1).alias("off"))
-        # before: the shingle that stands one place earlier, if that is where its own windows come from
-        places = materialise(places.join(ahead, ["item_id", "off"], "left").select("h", "len", "off", "before").distinct(), "item-shingles")
+        places = own.select("item_id", "len", F.posexplode_outer("ih").alias("off", "h")).groupBy("item_id", "len", "h").agg(F.min("off").alias("off"))
+        places = materialise(places.select("h", "len", "off").distinct(), "item-shingles")
         near = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        shingled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of("text").alias("w")).select("doc_id", shingles_of("w", k).alias("dh"))
-        hits = shingled.select("doc_id", "dh", F.posexplode("dh").alias("pos", "h")).join(near, "h")
-        hits = hits.filter("before is null or pos = 0 or get(dh, pos - 1) <> before")
-        hits = hits.withColumn("begin", F.greatest(F.lit(0), F.expr("pos - off"))).withColumn("end", F.least(F.expr(f"pos - off + len - {k - 1}"), F.size("dh")))
-        windows = hits.select("doc_id", "begin", "len", F.slice("dh", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("wh"))
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+        # outer: the optimiser would else filter on the array's size and build it anew for each word;
+        # rows of three numbers go through the explosion, not the text or its shingles
+        shingled = named.select("th", words_of("text").alias("w")).select("th", shingles_of("w", k).alias("dh"))
+        hits = shingled.select("th", F.posexplode_outer("dh").alias("pos", "h")).join(near, "h")
+        hits = hits.groupBy("th", "len", F.expr("pos - off").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        per_text = materialise(hits.groupBy("th").agg(F.collect_list(F.struct("at", "len")).alias("spots")), "spots")
+        few = F.broadcast(per_text) if per_text.count() <= BROADCAST_ROWS // 10 else per_text
+        held = named.join(few, "th").select("doc_id", "spots", words_of("text").alias("w")).select("doc_id", "spots", shingles_of("w", k).alias("dh"))
+        begin = lambda s: F.greatest(F.lit(0), s["at"])
+        end = lambda s: F.least(s["at"] + s["len"] - (k - 1), F.size("dh"))
+        held = held.select("doc_id", F.transform("spots", lambda s: F.struct(begin(s).alias("begin"), s["len"].alias("len"), F.slice("dh", begin(s) + 1, end(s) - begin(s)).alias("wh"))).alias("windows"))
+        windows = held.select("doc_id", F.inline_outer("windows"))
         windows = materialise(windows.withColumn("key", F.xxhash64("wh", F.size("wh"))), "windows")
-        contents = windows.groupBy("len", "key").agg(F.first("wh").alias("wh")).withColumn("fp", simhash("wh"))
+        contents = windows.groupBy("len", "key").agg(F.first("wh").alias("wh"))
+        contents = materialise(contents.withColumn("fp", simhash("wh")), "contents")
         marked = contents.select("len", "key", "wh", "fp", F.inline(block_keys("fp", blocks)))
-        against = own.withColumn("ifp", simhash("ih")).select("item_id", "len", "ih", "ifp", F.inline(block_keys("ifp", blocks)))
+        own = materialise(own.withColumn("ifp", simhash("ih")), "item-prints")
+        against = own.select("item_id", "len", "ih", "ifp", F.inline(block_keys("ifp", blocks)))
         x = F.col("fp").bitwiseXOR(F.col("ifp"))
         pairs = marked.join(against, ["len", "block", "bits"]).filter((F.bit_count(x) <= radius) & (first_equal_block(x, blocks) == F.col("block")))
         same = pairs.select("len", "key", "item_id", F.size("wh").alias("n"), weighted_jaccard("wh", "ih").alias("similarity")).filter(F.col("similarity") >= similarity)
