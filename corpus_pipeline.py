@@ -1,27 +1,59 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, decontamination, secret scans, packing."""
+"""The corpus pipeline: quality rules, SimHash near-dedup, decontamination, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives what it keeps, with the columns of docs; the last gives
+pieces of packed sequences. Nulls, empty and repeated rows are treated as each operator says.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from condensa.llm import packing
+from condensa.llm import decontamination, packing, quality, secret_scan, simhash_dedup
 from condensa.llm.queries import table
+from condensa.llm.shared import materialise
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_quality(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return simhash_dedup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return secret_scan.redact(docs)
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("packing", packing_stage),
+]
 
-#: No SQL: the stages learn, fold graphs and call a tokenizer. tests/llm holds each to a brute-force version.
+#: No SQL: suffix arrays, components of a graph, a forest and a tokenizer are beyond it. tests/llm holds
+#: the stages to brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
