@@ -82,7 +82,7 @@ def _laid_out(tokenizer: str):
                     ids = np.concatenate([c[0][e[k] : e[k + 1]] for c, e in zip(cuts, ends, strict=True)])
                     head, body = int(cuts[0][1][k]), int(cuts[1][1][k])
                     loss = (head, head + body) if role[k] == "assistant" else (0, 0)
-                    rows.append((part, path[k], depth[k], at, len(ids), ids.astype("<u4").tobytes(), *loss))
+                    rows.append((part, path[k], depth[k], at, len(ids), ids.tobytes(), *loss))
                     at += len(ids)
                 types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "path", "depth", "place", "n_tokens", "ids", "loss_begin", "loss_end"])
@@ -96,18 +96,19 @@ def _prefixes(df: DataFrame) -> DataFrame:
     return df.withColumn("above", F.explode(F.transform(steps, lambda i: F.substring("path", F.lit(1), i * _HEX))))
 
 
-def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """(emission, leaves) of conversations (conv_id, turn, role, text).
+def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(emission, attention, leaves) of conversations (conv_id, turn, role, text).
 
-    emission, a row a node: path, depth, start (place in the emission), n_tokens, position, ancestors
-    (intervals of the emission, begin and end), ids (little-endian unsigned 32-bit), loss_begin and
-    loss_end (tokens of the node under the loss mask). leaves: conv_id, path of its last node."""
+    emission, a row a node: path, depth, start (place in the emission), n_tokens, ids (little-endian and
+    unsigned, 16 bits where the vocabulary has at most 65,536 ids, else 32), loss_begin and loss_end
+    (tokens of the node under the loss mask). attention, a row a node: path, position, ancestors
+    (intervals of the emission, begin and end). leaves: conv_id, path of its last node."""
     spark = conversations.sparkSession
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     turns = materialise(ordered.mapInArrow(_chain, "conv_id long, depth int, path string, role string, text string"), "turns")
     nodes = turns.groupBy("path").agg(F.min("depth").alias("depth"), F.min("role").alias("role"), F.min("text").alias("text"))
-    spread = materialise(nodes, "nodes").repartitionByRange("path").sortWithinPartitions("path")
+    spread = nodes.repartitionByRange("path").sortWithinPartitions("path")
     laid = materialise(spread.mapInArrow(_laid_out(tokenizer), "part int, path string, depth int, place long, n_tokens long, ids binary, loss_begin long, loss_end long"), "laid-out")
     base, bases = 0, []
     for r in sorted(laid.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # a row a task
@@ -118,9 +119,10 @@ def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Dat
     above = _prefixes(placed.select("path")).filter("above <> path").join(spots, "above")
     above = above.groupBy("path").agg(F.sum(F.expr("end - begin")).alias("position"), F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("a"))
     merge = "aggregate(a, cast(array() as array<struct<begin:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and acc[size(acc) - 1].end = x.begin, concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin', acc[size(acc) - 1].begin, 'end', x.end))), concat(acc, array(x))))"
-    out = placed.join(above, "path", "left").select("path", "depth", "start", "n_tokens", F.coalesce("position", F.lit(0)).alias("position"), F.expr(merge).alias("ancestors"), "ids", "loss_begin", "loss_end")
+    attention = placed.select("path").join(above, "path", "left").select("path", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce(F.expr(merge), F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")).alias("ancestors"))
+    emission = placed.select("path", "depth", "start", "n_tokens", "ids", "loss_begin", "loss_end")
     leaves = turns.groupBy("conv_id").agg(F.max(F.struct("depth", "path")).alias("m")).select("conv_id", "m.path")
-    return materialise(out, "emission"), materialise(leaves, "leaves")
+    return emission, attention, leaves
 
 
 def _letters() -> dict[str, int]:
@@ -135,7 +137,7 @@ def read_back(emission: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFra
     ordered = walks.select("conv_id", "depth", "ids", "loss_begin", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
 
     def run(batches):
-        letters = _letters()
+        letters, width = _letters(), encoder(tokenizer).dtype
         with open(tokenizer, encoding="utf-8") as f:
             own = {i: bytes(letters[c] for c in t) for t, i in json.load(f)["model"]["vocab"].items()}
         decode = lambda ids: b"".join(map(own.__getitem__, ids.tolist())).decode()
@@ -153,7 +155,7 @@ def read_back(emission: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFra
                         done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     conv, begun, n, chars, loss_chars = c, True, 0, 0, 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                ids = np.frombuffer(raw, "<u4")
+                ids = np.frombuffer(raw, width)
                 formatted = decode(ids)
                 role, text = parse_turn(formatted)
                 turns.update(f"{role}\n{text}\n".encode())

@@ -48,7 +48,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    emission, leaves = chat.build_tree(rows, tokenizer)
+    emission, _, leaves = chat.build_tree(rows, tokenizer)
     return chat.read_back(emission, leaves, tokenizer)
 
 

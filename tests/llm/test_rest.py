@@ -136,9 +136,9 @@ def test_chat(spark, sf):
     odd = [(c, t, ("system", "user", "assistant")[t % 3], f"{hostile} \\ <|im_end|>\\n {t if t < 3 else c}") for c in range(30) for t in range(1 + c % 6)]
     odd += [(50, 0, None, None), (50, 0, "a\nb\\", ""), (None, 1, "assistant", "<|endoftext|>"), (None, 1, "assistant", "<|endoftext|>")]
     df = spark.createDataFrame([(*x, "p") for x in odd], "conv_id long, turn long, role string, text string, path string")
-    emission, leaves = chat.build_tree(df, tok)
+    emission, attention, leaves = chat.build_tree(df, tok)
     check_chat(chat.read_back(emission, leaves, tok).collect(), odd)
-    nodes = {r.path: r for r in emission.collect()}
+    nodes = {r.path: r for r in emission.join(attention, "path").collect()}
     at = 0
     for path in sorted(nodes):  # depth-first, each token once, ancestors seen and nothing else
         r = nodes[path]
@@ -148,7 +148,7 @@ def test_chat(spark, sf):
         assert seen == [x for a in above for x in range(a.start, a.start + a.n_tokens)]
         at += r.n_tokens
     assert len(nodes) == len({tuple((r[2] or "", r[3] or "") for r in sorted(v, key=lambda r: (r[1], r[2] or "", r[3] or "")))[:k] for v in [[x for x in odd if x[0] == c] for c in {x[0] for x in odd}] for k in range(1, len(v) + 1)})
-    emission, leaves = chat.build_tree(df.limit(0), tok)
+    emission, _, leaves = chat.build_tree(df.limit(0), tok)
     assert chat.read_back(emission, leaves, tok).count() == 0
 
 
