@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.operators import leak_filter
 
-from . import stat_plans, text_plans
+from . import fold_plans, stat_plans, text_plans
 from .dialect import DUCK, runner
 
 
@@ -26,8 +26,8 @@ def leak_clean_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLANS = text_plans.PLANS | stat_plans.PLANS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"leak_clean_by_source": leak_clean_by_source} | {k: runner(f) for k, f in PLANS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"leak_clean_by_source": leak_clean_by_source} | {k: runner(f) for k, f in PLANS.items()} | fold_plans.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "leak_clean_by_source": f"select source, count(*) as n_clean from documents d where not exists (select 1 from ({text_plans.leak_ids(DUCK)}) l where l.doc_id = d.doc_id) group by source",
-} | {k: f(DUCK) for k, f in PLANS.items()}
+} | {k: f(DUCK) for k, f in PLANS.items()} | fold_plans.ORACLE_SQL
