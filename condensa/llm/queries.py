@@ -78,4 +78,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>"
+_EXTRA = lambda x: f"length({x}) - length(replace({x}, chr(92), '')) + len(regexp_extract_all({x}, '{_CONTROL}'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_formatting": f"""
+    with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+      cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+      cast(sum(24 + length(role) + length(role) - length(replace(role, chr(10), '')) + {_EXTRA("role")} + length(text) + {_EXTRA("text")}) as bigint) as formatted_chars
+    from c group by conv_id""",
+    # the tables at hand mark the main text with <article> and know one reference
+    "op9_html_extraction": """
+    with a as (select page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) as text from pages)
+    select page_id, url, text, cast(length(text) as bigint) as n_chars from a""",
+}
