@@ -156,6 +156,6 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             score = [alignment.rouge_l(p or "", g or "") for p, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(score, 6), pa.float64())], ["conv_id", "turn", "f1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["conv_id", "turn", "f1"])
 
     return pairs.select("conv_id", "turn", "pred", "gold").mapInArrow(run, "conv_id long, turn long, f1 double")

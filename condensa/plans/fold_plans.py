@@ -56,7 +56,7 @@ def knapsack_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     nxt = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
-    return compress.rouge_l(turns.select("conv_id", "turn", F.col("text").alias("pred")).join(nxt, ["conv_id", "turn"]))
+    return compress.rouge_l(turns.select("conv_id", "turn", F.col("text").alias("pred")).join(nxt, ["conv_id", "turn"])).withColumn("f1", F.round("f1", 6))
 
 
 QUERIES = {k: _query(v[0]) for k, v in SPECS.items()} | {"align_labels": align_labels, "knapsack_gap": knapsack_gap, "rouge_l": rouge_l}
