@@ -53,13 +53,14 @@ def _tokens(path: str, end_id: int):
         tail = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             text = batch.column(1)
-            step = max(1, int(len(text) * (12 << 20) / max(1, text.nbytes)))
+            step = max(1, int(len(text) * (8 << 20) / max(1, text.nbytes)))
             for i in range(0, len(text), step):
                 ids, counts = enc.encode(text.slice(i, step))
                 raw, ends = ids.tobytes(), np.cumsum(counts) * enc.dtype.itemsize
                 begins = ends - counts * enc.dtype.itemsize
                 own = [raw[a:b] + tail for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, step), pa.array(own, pa.binary())], ["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -23,7 +23,7 @@ LEAST = 8
 #: words and as a share of the text. A repeat is too long if it passes both of its limits.
 MOST_COVERED, LONGEST_WORDS, LONGEST_SHARE = 0.3, 50, 0.2
 #: Texts beyond this many bytes start a new array.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
 _SYMBOL, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -175,6 +175,9 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(verdict(features(batch.column(at)), **limits)[1]))
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
+                yield some.filter(pa.array(verdict(features(some.column(at)), **limits)[1]))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,9 +27,9 @@ _ODD = (
 )
 _END, _MARKS = "<|endoftext|>", (",", ".")
 #: Distinct parts that a worker remembers; beyond it, it starts afresh.
-MOST_PARTS = 1_000_000
+MOST_PARTS = 700_000
 #: UTF-8 bytes of text handled at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 class PartTable:

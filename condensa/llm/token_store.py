@@ -129,7 +129,7 @@ def _segments(path: str, end_id: int, most: int):
 
         for batch in batches:
             text = batch.column(1)
-            step = max(1, min(most // 256, int(len(text) * (12 << 20) / max(1, text.nbytes))))
+            step = max(1, min(most // 256, int(len(text) * (8 << 20) / max(1, text.nbytes))))
             for i in range(0, len(text), step):
                 ids, counts = enc.encode(text.slice(i, step))
                 at = np.cumsum(counts)
