@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.operators import leak_filter
 
-from . import fold_plans, stat_plans, text_plans
+from . import fold_plans, more_plans, stat_plans, text_plans
 from .dialect import DUCK, runner
 
 
@@ -24,7 +24,7 @@ def leak_clean_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source").join(leak, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n_clean"))
 
 
-PLANS = text_plans.PLANS | stat_plans.PLANS
+PLANS = text_plans.PLANS | stat_plans.PLANS | more_plans.PLANS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"leak_clean_by_source": leak_clean_by_source} | {k: runner(f) for k, f in PLANS.items()} | fold_plans.QUERIES
 
