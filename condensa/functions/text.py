@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from condensa.plans.dialect import METRIC, TOKEN
 
@@ -73,7 +74,7 @@ def _normalize(text: str | None) -> str | None:
     return re.sub(pattern, _move, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize(x: pd.Series) -> pd.Series:
     """NFC, and the tone mark of an open syllable in oa, oe or uy on its second letter; not after q."""
     return x.map(_normalize, na_action="ignore")
