@@ -8,19 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.operators import leak_filter
+from condensa.sources.tables import read_table
 
 from . import fold_plans, more_plans, stat_plans, text_plans
 from .dialect import DUCK, runner
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def leak_clean_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left by the leak filter, by source."""
-    docs = _table(spark, sf_dir, "documents")
-    leak = leak_filter.leaking_ids(docs, _table(spark, sf_dir, "benchmark"))
+    docs = read_table(spark, sf_dir, "documents")
+    leak = leak_filter.leaking_ids(docs, read_table(spark, sf_dir, "benchmark"))
     return docs.select("doc_id", "source").join(leak, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n_clean"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from condensa.sources.tables import read_table
+
 TABLES = ("documents", "benchmark", "labels", "conversations", "pages", "orders", "lineitem", "events", "customer")
 
 #: Token of alignment and n-grams: digits, letters, any other visible character, underscore.
@@ -141,18 +143,12 @@ class DuckSQL(SparkSQL):
 SPARK, DUCK = SparkSQL(), DuckSQL()
 
 
-def view_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Views of the tables of a folder, under names of our own."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(SPARK.t(name))
-
-
 def runner(plan: Callable[[SparkSQL], str]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = plan(SPARK)
         for name in TABLES:
             if SPARK.t(name) in text:
-                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(SPARK.t(name))
+                read_table(spark, sf_dir, name).createOrReplaceTempView(SPARK.t(name))
         return spark.sql(text)
 
     return run

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.operators import compress
+from condensa.sources.tables import read_table
 
 from .dialect import DUCK, METRIC
 from .text_plans import NEGATION, STOP, _units
@@ -28,7 +29,7 @@ SPECS = {
 
 def _query(spec: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = read_table(spark, sf_dir, "documents")
         return compress.compress(docs, spec, RATIO).filter("budget is not null and compressed is not null").select("doc_id", "budget", "n_kept", "used", "positions")
 
     return run
@@ -46,15 +47,15 @@ def _sql(score: str, priority: str, alpha: int) -> str:
 
 
 def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress.align_labels(spark.read.parquet(f"{sf_dir}/documents.parquet"), "stopword", RATIO)
+    return compress.align_labels(read_table(spark, sf_dir, "documents"), "stopword", RATIO)
 
 
 def knapsack_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress.knapsack_gap(spark.read.parquet(f"{sf_dir}/documents.parquet"), RATIO)
+    return compress.knapsack_gap(read_table(spark, sf_dir, "documents"), RATIO)
 
 
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = read_table(spark, sf_dir, "conversations")
     nxt = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
     return compress.rouge_l(turns.select("conv_id", "turn", F.col("text").alias("pred")).join(nxt, ["conv_id", "turn"])).withColumn("f1", F.round("f1", 6))
 
