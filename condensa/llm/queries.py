@@ -8,11 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, chat, decontamination, html_blocks, packing, quality, secret_scan, sharding, simhash_dedup, token_store
-
+from condensa.sources.tables import read_table as table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import bpe_count, chat, decontamination, html_blocks, packing, quality, secret_scan, sharding, simhash_dedup, token_store
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def check_store(got, rows):
 def test_store(spark, sf, tmp_path):
     docs = queries.table(spark, sf, "documents")
     check_store(queries.op1_token_store(spark, sf).collect(), sorted((r.doc_id, r.text) for r in docs.collect()))
-    path = token_store.write_token_store(odd_docs(spark), public_tokenizers.path("byte_bpe_50k.json"), segment_ids=256)
+    path = token_store.write_token_store(odd_docs(spark), public_tokenizers.path("byte_bpe_50k.json"), segment_ids=32)
     got = token_store.read_token_store(spark, path).selectExpr("*", "crc32(ids) ids_crc32").collect()
     assert spark.read.parquet(path).count() > 1
     rows = [(None, "no id")] + sorted(((i, t) for i, t in enumerate(ODD)), key=lambda x: x[0])
