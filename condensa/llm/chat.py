@@ -4,7 +4,8 @@ A node is a turn after a certain history, named by a hash chain over (role, text
 depth-first (in the order of their paths of hashes), so a node's own tokens have one place, `start`, in
 the emission. With it go its position (tokens of its ancestors) and the intervals of the emission that
 it may attend to: its ancestors', neighbours merged. A hot first turn is one node; what hangs below it
-is laid out by ranges of paths, so no task gathers a tree.
+is laid out by ranges of paths, so no task gathers a tree. A task keeps the ancestors of its latest node
+on a stack; those laid out before it are all ancestors of its first node, and are looked up once a task.
 
 The template is <|im_start|>role, line break, text, <|im_end|>, line break. Escaping doubles every
 backslash and sets one after the first character of each control string (and writes a line break in a
@@ -69,9 +70,20 @@ def _chain(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["conv_id", "depth", "path", "role", "text"])
 
 
+def _joined(intervals: list[tuple[int, int]], own: tuple[int, int]) -> list[tuple[int, int]]:
+    """intervals with a later one, which lengthens the last if it follows on it."""
+    if intervals and intervals[-1][1] == own[0]:
+        return [*intervals[:-1], (intervals[-1][0], own[1])]
+    return [*intervals, own]
+
+
+_SPANS = "array<struct<begin:bigint,end:bigint>>"
+
+
 def _laid_out(tokenizer: str):
     def run(batches):
         enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        stack: list[tuple[str, list[tuple[int, int]]]] = []  # the latest node and its ancestors here; intervals up to each
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 path, depth, role, text = (batch.column(c).slice(i, 2048).to_pylist() for c in range(4))
@@ -82,10 +94,14 @@ def _laid_out(tokenizer: str):
                     ids = np.concatenate([c[0][e[k] : e[k + 1]] for c, e in zip(cuts, ends, strict=True)])
                     head, body = int(cuts[0][1][k]), int(cuts[1][1][k])
                     loss = (head, head + body) if role[k] == "assistant" else (0, 0)
-                    rows.append((part, path[k], depth[k], at, len(ids), ids.tobytes(), *loss))
+                    while stack and not path[k].startswith(stack[-1][0]):
+                        stack.pop()
+                    inner = stack[-1][1] if stack else []
+                    rows.append((part, path[k], depth[k], at, len(ids), ids.tobytes(), *loss, depth[k] - 1 - len(stack), [{"begin": b, "end": e} for b, e in inner]))
+                    stack.append((path[k], _joined(inner, (at, at + len(ids)))))
                     at += len(ids)
-                types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "path", "depth", "place", "n_tokens", "ids", "loss_begin", "loss_end"])
+                types = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "path", "depth", "place", "n_tokens", "ids", "loss_begin", "loss_end", "n_outer", "inner"])
 
     return run
 
@@ -101,26 +117,30 @@ def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Dat
 
     emission, a row a node: path, depth, start (place in the emission), n_tokens, ids (little-endian and
     unsigned, 16 bits where the vocabulary has at most 65,536 ids, else 32), loss_begin and loss_end
-    (tokens of the node under the loss mask). attention, a row a node: path, position, ancestors
-    (intervals of the emission, begin and end). leaves: conv_id, path of its last node."""
+    (tokens of the node under the loss mask), position and ancestors (intervals of the emission, begin
+    and end). attention: path, position and ancestors alone. leaves: conv_id, path of its last node."""
     spark = conversations.sparkSession
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     turns = materialise(ordered.mapInArrow(_chain, "conv_id long, depth int, path string, role string, text string"), "turns")
     nodes = turns.groupBy("path").agg(F.min("depth").alias("depth"), F.min("role").alias("role"), F.min("text").alias("text"))
     spread = nodes.repartitionByRange("path").sortWithinPartitions("path")
-    laid = materialise(spread.mapInArrow(_laid_out(tokenizer), "part int, path string, depth int, place long, n_tokens long, ids binary, loss_begin long, loss_end long"), "laid-out")
-    base, bases = 0, []
-    for r in sorted(laid.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # a row a task
-        bases.append((r.part, base))
+    laid = materialise(spread.mapInArrow(_laid_out(tokenizer), f"part int, path string, depth int, place long, n_tokens long, ids binary, loss_begin long, loss_end long, n_outer int, inner {_SPANS}"), "laid-out")
+    base, bases, names = 0, {}, {}
+    for r in sorted(laid.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min("path").alias("first")).collect()):  # a row a task
+        bases[r.part] = base
+        names[r.part] = [r.first[k : k + _HEX] for k in range(0, len(r.first) - _HEX, _HEX)]
         base += r.n
-    placed = laid.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").withColumn("start", F.col("base") + F.col("place"))
-    spots = placed.select(F.col("path").alias("above"), F.col("depth").alias("up"), F.col("start").alias("begin"), (F.col("start") + F.col("n_tokens")).alias("end"))
-    above = _prefixes(placed.select("path")).filter("above <> path").join(spots, "above")
-    above = above.groupBy("path").agg(F.sum(F.expr("end - begin")).alias("position"), F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("a"))
-    merge = "aggregate(a, cast(array() as array<struct<begin:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and acc[size(acc) - 1].end = x.begin, concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin', acc[size(acc) - 1].begin, 'end', x.end))), concat(acc, array(x))))"
-    attention = placed.select("path").join(above, "path", "left").select("path", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce(F.expr(merge), F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")).alias("ancestors"))
-    emission = placed.select("path", "depth", "start", "n_tokens", "ids", "loss_begin", "loss_end")
+    own = spark.createDataFrame([(x,) for x in sorted({x for up in names.values() for x in up})], "name string")
+    above = laid.select(F.substring("path", -_HEX, _HEX).alias("name"), "part", "place", "n_tokens").join(F.broadcast(own), "name").collect()
+    spots = {r.name: (bases[r.part] + r.place, bases[r.part] + r.place + r.n_tokens) for r in above}
+    outer = spark.createDataFrame([(p, b, [spots[x] for x in names[p]]) for p, b in bases.items()], f"part int, base long, outer {_SPANS}")
+    merge = f"aggregate(a, cast(array() as {_SPANS}), (acc, x) -> if(size(acc) > 0 and acc[size(acc) - 1].end = x.begin, concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin', acc[size(acc) - 1].begin, 'end', x.end))), concat(acc, array(x))))"
+    placed = laid.join(F.broadcast(outer), "part").withColumn("start", F.col("base") + F.col("place"))
+    placed = placed.withColumn("a", F.expr("concat(slice(outer, 1, n_outer), transform(inner, x -> named_struct('begin', base + x.begin, 'end', base + x.end)))"))
+    placed = placed.withColumn("position", F.expr("aggregate(a, 0L, (acc, x) -> acc + x.end - x.begin)")).withColumn("ancestors", F.expr(merge))
+    emission = placed.select("path", "depth", "start", "n_tokens", "ids", "loss_begin", "loss_end", "position", "ancestors")
+    attention = emission.select("path", "position", "ancestors")
     leaves = turns.groupBy("conv_id").agg(F.max(F.struct("depth", "path")).alias("m")).select("conv_id", "m.path")
     return emission, attention, leaves
 
@@ -132,9 +152,11 @@ def _letters() -> dict[str, int]:
 
 
 def read_back(emission: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from the emitted ids."""
-    walks = _prefixes(leaves).select("conv_id", "above").join(emission.select(F.col("path").alias("above"), "depth", "ids", "loss_begin", "loss_end"), "above")
-    ordered = walks.select("conv_id", "depth", "ids", "loss_begin", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from the emitted ids.
+    Position and ancestors of every node are read with them; an error if they are not those of the turns before."""
+    spans = F.flatten(F.transform("ancestors", lambda x: F.array(x["begin"], x["end"]))).alias("spans")
+    walks = _prefixes(leaves).select("conv_id", "above").join(emission.select(F.col("path").alias("above"), "depth", "ids", "loss_begin", "loss_end", "start", "position", spans), "above")
+    ordered = walks.drop("above").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
 
     def run(batches):
         letters, width = _letters(), encoder(tokenizer).dtype
@@ -142,20 +164,25 @@ def read_back(emission: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFra
             own = {i: bytes(letters[c] for c in t) for t, i in json.load(f)["model"]["vocab"].items()}
         decode = lambda ids: b"".join(map(own.__getitem__, ids.tolist())).decode()
         conv, begun = None, False
-        n = chars = loss_chars = 0
+        n = chars = loss_chars = before = 0
+        seen: list[tuple[int, int]] = []
         turns, loss = hashlib.sha256(), hashlib.sha256()
         done: list[tuple] = []
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
-            for c, _, raw, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, depth, raw, a, b, start, position, spans in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if not begun or c != conv:
                     if begun:
                         done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     conv, begun, n, chars, loss_chars = c, True, 0, 0, 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
+                    before, seen = 0, []
                 ids = np.frombuffer(raw, width)
+                if position != before or spans != [x for span in seen for x in span]:
+                    raise ValueError(f"conversation {c}, turn {depth}: position {position} and intervals {spans}, not {before} and {seen}")
+                before, seen = before + len(ids), _joined(seen, (start, start + len(ids)))
                 formatted = decode(ids)
                 role, text = parse_turn(formatted)
                 turns.update(f"{role}\n{text}\n".encode())

@@ -47,7 +47,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     emission, _, leaves = chat.build_tree(rows, tokenizer)
-    return chat.read_back(emission, leaves, tokenizer)
+    return chat.read_back(emission, leaves, tokenizer)  # with position and ancestors of every node
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
