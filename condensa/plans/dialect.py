@@ -75,7 +75,11 @@ class SparkSQL:
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
     def range(self, lo: str, hi: str) -> str:
-        return f"(select explode(sequence(cast({lo} as bigint), cast({hi} as bigint))) as i)"
+        return f"(select {self.each(lo, hi)} as i)"
+
+    def each(self, lo: str, hi: str) -> str:
+        """A row for each whole number from lo to hi, of each row selected from."""
+        return f"explode(sequence(cast({lo} as bigint), cast({hi} as bigint)))"
 
     def json(self, x: str, field: str) -> str:
         return f"get_json_object({x}, '$.{field}')"
@@ -134,7 +138,10 @@ class DuckSQL(SparkSQL):
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 
     def range(self, lo: str, hi: str) -> str:
-        return f"(select unnest(range(cast({lo} as bigint), cast({hi} as bigint) + 1)) as i)"
+        return f"(select {self.each(lo, hi)} as i)"
+
+    def each(self, lo: str, hi: str) -> str:
+        return f"unnest(range(cast({lo} as bigint), cast({hi} as bigint) + 1))"
 
     def json(self, x: str, field: str) -> str:
         return f"json_extract_string({x}, '$.{field}')"

@@ -80,15 +80,22 @@ def holm_family(d):
     select c.task, cast(c.arm as bigint) as arm, c.member, round(c.p, 6) as p, round(h.adjusted, 6) as adjusted from c left join h on h.task = c.task and h.arm = c.arm"""
 
 
+def _ln_factorial(x: str) -> str:
+    """ln x! of a whole number, row by row: Stirling's series at x + 10, and the factors up to there."""
+    z = f"({x} + 10e0)"
+    return f"(({z} - 0.5e0) * ln({z}) - {z} + 0.5e0 * ln(2 * pi()) + 1 / (12 * {z}) - 1 / (360 * power({z}, 3)) + 1 / (1260 * power({z}, 5)) - ln({' * '.join(f'({x} + {k}e0)' for k in range(1, 10))}))"
+
+
 def mcnemar_discordant(d):
-    """Exact tails of the sign of discordant pairs, from sums of logarithms (no factorial)."""
+    """Exact tails of the sign of discordant pairs, from logarithms of factorials. Terms further than
+    20 sqrt(n) from n / 2 are left out: together they are below exp(-800), which no double holds."""
     return f"""
-    with n as (select seed, count(*) filter (where a > b) as only_a, count(*) filter (where b > a) as only_b from {_cells(d)} x where cluster < 2 group by seed),
+    with n as (select seed, count(*) filter (where a > b) as only_a, count(*) filter (where b > a) as only_b from {_cells(d)} x group by seed),
     t as (select seed, only_a, only_b, only_a + only_b as n from n),
-    lf as (select i, sum(case when i = 0 then 0e0 else ln(i) end) over (order by i rows unbounded preceding) as v from {d.range("0", "4000")} k),
-    pk as (select t.seed, k.i as k, exp(ln_n.v - ln_k.v - ln_r.v - t.n * ln(2e0)) as p from t cross join {d.range("0", "4000")} k join lf ln_n on ln_n.i = t.n join lf ln_k on ln_k.i = k.i join lf ln_r on ln_r.i = t.n - k.i where k.i <= t.n)
-    select t.seed, max(t.only_a) as only_a, max(t.only_b) as only_b, round(least(1e0, 2 * sum(case when pk.k <= least(t.only_a, t.only_b) then pk.p else 0e0 end)), 6) as two_sided, round(least(1e0, sum(case when pk.k <= t.only_a then pk.p else 0e0 end)), 6) as a_flips_less
-    from t join pk on pk.seed = t.seed group by t.seed"""
+    k as (select seed, only_a, only_b, n, {d.each("greatest(0, floor(n / 2e0 - 20 * sqrt(n)))", "least(n, ceil(n / 2e0 + 20 * sqrt(n)))")} as k from t),
+    pk as (select seed, only_a, only_b, k, exp({_ln_factorial("n")} - {_ln_factorial("k")} - {_ln_factorial("(n - k)")} - n * ln(2e0)) as p from k)
+    select seed, max(only_a) as only_a, max(only_b) as only_b, round(least(1e0, 2 * sum(case when k <= least(only_a, only_b) then p else 0e0 end)), 6) as two_sided, round(least(1e0, sum(case when k <= only_a then p else 0e0 end)), 6) as a_flips_less
+    from pk group by seed"""
 
 
 def factorial_2x2(d):
