@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from .dialect import SparkSQL
 
-REPLICATES = 100
+#: Replicates of every bootstrap, and of the minimum detectable effect: those of the reference.
+REPLICATES, MDE_REPLICATES = 10_000, 2_000
 
 
 def _cells(d: SparkSQL) -> str:
@@ -16,16 +17,16 @@ def _cells(d: SparkSQL) -> str:
     return f"(select o_orderkey as id, o_custkey % 40 as cluster, {d.md5_int('cast(o_orderkey as varchar(19))')} % 3 as seed, case when o_orderstatus = 'F' then 1e0 else 0e0 end as a, case when o_totalprice > 150000 then 1e0 else 0e0 end as b from {d.t('orders')})"
 
 
-def _draws(d: SparkSQL, clusters: str, seed: str) -> str:
+def _draws(d: SparkSQL, clusters: str, seed: str, replicates: int = REPLICATES) -> str:
     """b, place: as many draws a replicate as there are clusters (one row a draw, not a row a pair)."""
-    return f"""(select b.i as b, {d.md5_int(f"concat('{seed}|', cast(b.i as varchar(9)), '|', cast(k.place as varchar(9)))")} % k.n as place from {d.range("0", str(REPLICATES - 1))} b cross join (select place, n from {clusters}) k)"""
+    return f"""(select b.i as b, {d.md5_int(f"concat('{seed}|', cast(b.i as varchar(9)), '|', cast(k.place as varchar(9)))")} % k.n as place from {d.range("0", str(replicates - 1))} b cross join (select place, n from {clusters}) k)"""
 
 
-def _boot(d: SparkSQL, value: str, where: str = "true", seed: str = "1") -> str:
+def _boot(d: SparkSQL, value: str, where: str = "true", seed: str = "1", replicates: int = REPLICATES) -> str:
     """CTEs: cl (cluster sums with a place), rep (b, m: the replicate's mean), point."""
     return f"""
     cl as (select cluster, s, c, row_number() over (order by cluster) - 1 as place, count(*) over () as n from (select cluster, sum({value}) as s, count(*) as c from {_cells(d)} x where {where} group by cluster) y),
-    rep as (select r.b, sum(cl.s) / sum(cl.c) as m from {_draws(d, "cl", seed)} r join cl on cl.place = r.place group by r.b),
+    rep as (select r.b, sum(cl.s) / sum(cl.c) as m from {_draws(d, "cl", seed, replicates)} r join cl on cl.place = r.place group by r.b),
     point as (select sum(s) / sum(c) as mean, sum(c) as n_rows, count(*) as n_clusters from cl)"""
 
 
@@ -53,7 +54,7 @@ def non_inferiority(d):
 
 def mde_projected(d):
     """(z for 5% + z for 80%) times the bootstrap's deviation, projected to four times the clusters."""
-    return f"with {_boot(d, 'a - b', seed='mde')} select round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m), 6) as mde_dev, round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m) * sqrt(max(n_clusters) / (4e0 * max(n_clusters))), 6) as mde_test from rep cross join point"
+    return f"with {_boot(d, 'a - b', seed='mde', replicates=MDE_REPLICATES)} select round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m), 6) as mde_dev, round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m) * sqrt(max(n_clusters) / (4e0 * max(n_clusters))), 6) as mde_test from rep cross join point"
 
 
 def clustered_slope(d):
