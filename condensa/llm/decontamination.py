@@ -1,10 +1,12 @@
 """Benchmark decontamination in DataFrame operations only.
 
 Words are lower-cased runs without white space; features are five-word shingles, or the whole item
-where it is shorter. A window has as many words as the item it may hold. Since a window that reaches
-the similarity shares a shingle with its item, windows are set where a shingle of the benchmark
-occurs, so that the shingle falls on its first place in the item. Equal windows are one row from then on. Each is SimHashed over its shingles with their counts as
-weights; the 64 bits are cut into RADIUS + 1 blocks, of which two fingerprints within the radius
+where it is shorter. A window has as many words as the item it may hold. Where a shingle of the
+benchmark occurs, the start that puts it on its first place in the item is an anchor. The best window of
+an item starts on an anchor or between two that are at most (2 - similarity) times its shingles apart
+(from outside them, a shift towards them loses no shared shingle; further apart, their windows share too
+little), and the similarity times its shingles are the benchmark's. Windows are set at all such starts.
+Equal windows are one row from then on. Each is SimHashed over its shingles with their counts as weights; the 64 bits are cut into RADIUS + 1 blocks, of which two fingerprints within the radius
 share one. What shares a block and is within the radius is verified by exact weighted Jaccard:
 the sum of smaller counts over the sum of larger ones.
 
@@ -22,11 +24,20 @@ from .shared import materialise
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 22
 #: Rows of benchmark shingles up to which they are broadcast (about 40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+#: Starts on or between neighbouring `anchors` whose windows of m shingles hold `least` of the sorted places `ps`. Both arrays
+#: of starts are built without overlaps, so they are as long as the stretches they cover. A window that holds the places i to
+#: i + least - 1 starts between the last of them less m - 1 and the first.
+_STARTS = """array_intersect(
+    flatten(transform(anchors, (a, i) -> if(i > 0 and a - anchors[i - 1] <= {gap}, sequence(anchors[i - 1] + 1, a), array(a)))),
+    flatten(transform(slice(ps, 1, greatest(0, size(ps) - least + 1)), (p, i) ->
+        if(ps[i + least - 1] - m + 1 <= p, sequence(greatest(ps[i + least - 1] - m + 1, if(i > 0, ps[i - 1] + 1, ps[i + least - 1] - m + 1)), p), cast(array() as array<int>)))))"""
+
+
 def words_of(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
@@ -90,8 +101,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         # rows of three numbers go through the explosion, not the text or its shingles
         shingled = named.select("th", words_of("text").alias("w")).select("th", shingles_of("w", k).alias("dh"))
         hits = shingled.select("th", F.posexplode_outer("dh").alias("pos", "h")).join(near, "h")
-        hits = hits.groupBy("th", "len", F.expr("pos - off").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-        per_text = materialise(hits.groupBy("th").agg(F.collect_list(F.struct("at", "len")).alias("spots")), "spots")
+        hits = hits.groupBy("th", "len").agg(F.sort_array(F.collect_set("pos")).alias("ps"), F.sort_array(F.collect_set(F.expr("pos - off"))).alias("anchors"))
+        begins = hits.withColumn("m", F.col("len") - (k - 1)).withColumn("least", F.ceil(F.lit(similarity) * F.col("m") - 1e-9).cast("int"))
+        begins = begins.select("th", "len", F.explode_outer(F.expr(_STARTS.format(gap=f"{2 - similarity} * m + 1e-9"))).alias("at")).filter("at is not null")
+        per_text = materialise(begins.groupBy("th").agg(F.collect_list(F.struct("at", "len")).alias("spots")), "spots")
         few = F.broadcast(per_text) if per_text.count() <= BROADCAST_ROWS // 10 else per_text
         held = named.join(few, "th").select("doc_id", "spots", words_of("text").alias("w")).select("doc_id", "spots", shingles_of("w", k).alias("dh"))
         begin = lambda s: F.greatest(F.lit(0), s["at"])

@@ -4,7 +4,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from condensa.llm import chat
+from condensa.llm import chat, decontamination
+
+from .test_rest import leaks_by_hand
 
 
 def test_chat_attention_read_back(spark):
@@ -18,3 +20,18 @@ def test_chat_attention_read_back(spark):
     for wrong in (emission.withColumn("position", F.col("position") + 1), emission.withColumn("ancestors", F.slice("ancestors", 2, 100))):
         with pytest.raises(Exception, match="position"):
             chat.read_back(wrong, leaves, tok).collect()
+
+
+def test_windows_between_anchors(spark):
+    """An item with an insertion and edits near both ends, whose best start is no anchor; halves swapped; cut at the ends."""
+    w = [f"w{i}" for i in range(60)]
+    edited = ["x", *w[1:30], "y", "z", *w[30:59], "v"]
+    swapped = [*w[30:], "q", "r", *w[:30]]
+    docs = [(i, " ".join([*(f"a{j}" for j in range(i)), *x, *(f"b{j}" for j in range(40 - i))])) for i, x in enumerate([edited, swapped, w, edited[3:], w[4:], w[:-5]])]
+    docs += [(10, " ".join(edited)), (11, " ".join(w[3:])), (12, " ".join(w[:-3]))]
+    items = [(1, " ".join(w)), (2, "one two three"), (3, " ".join(w[:20] * 3))]
+    docs += [(20, " ".join([*w[2:20], *w[:20], "n", *w[:20], *w[:9]])), (21, "zero one two three four")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert 0.8 <= got[0, 1] < 0.81
+    want = leaks_by_hand(docs, items)
+    assert got.keys() >= want.keys() and all(got[k] >= v - 1e-12 for k, v in want.items())
