@@ -128,21 +128,19 @@ def align_labels(docs: DataFrame, spec: str, ratio: float) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_units long, n_matched long, keep_rate double, partial long, full long, cbr double, unmatched_ratio double")
 
 
-def knapsack_gap(docs: DataFrame, ratio: float, block: int = 256) -> DataFrame:
-    """doc_id, n_units, greedy_score, exact_score: what greedy selection loses to an exact one, in each block of
-    `block` units with its own budget, so that the exact table is bounded for any text."""
+def knapsack_gap(docs: DataFrame, ratio: float) -> DataFrame:
+    """doc_id, n_units, greedy_score, exact_score: what greedy selection loses to an exact one, over the whole
+    text and its budget."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                units, fast, exact = (t or "").split(), 0.0, 0.0
-                for i in range(0, len(units), block):
-                    own = units[i : i + block]
-                    costs, s = [cost(u) for u in own], _noise(len(own), "gap")
-                    budget = budget_of(sum(costs), ratio)
-                    fast += float(s[selection.greedy(s, costs, budget)].sum())
-                    exact += float(s[selection.knapsack(s, costs, budget)].sum())
+                units = (t or "").split()
+                costs, s = [cost(u) for u in units], _noise(len(units), "gap")
+                budget = budget_of(sum(costs), ratio)
+                fast = float(s[selection.greedy(s, costs, budget)].sum()) if units else 0.0
+                exact = selection.best_score(s, costs, budget)
                 rows.append((d, len(units), round(fast, 6), round(exact, 6)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "n_units", "greedy_score", "exact_score"])
