@@ -1,8 +1,9 @@
 """Secret scans in DataFrame operations only: a wide candidate pattern, and a random forest that removes
 its false positives.
 
-Candidates are runs of 16 or more key characters with at least one digit, with the two words before,
-the word around and the word after.
+Candidates are values of 6 or more visible characters that follow a naming word or an assignment sign
+(in the word or in those before it), without quotes around them, and runs of 16 or more key characters
+with a letter or digit; each with the two words before, the word around and the word after.
 Features of a candidate: length, classes of characters and transitions between them, how much of it a
 dictionary covers, whether it looks like a path or address or stands in one, and which words stand
 next to it. A forest is grown on the driver from labelled findings (at most MOST_LABELLED of them,
@@ -17,6 +18,7 @@ from __future__ import annotations
 import random
 import string
 import uuid
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,29 +29,41 @@ MOST_LABELLED = 4000
 TREES, DEPTH, LEAST_LEAF = 15, 5, 5
 MARK = "[SECRET]"
 
-#: A candidate within a word, and a word that can hold one.
+#: A run within a word, and a word that can hold one.
 CANDIDATE = r"([A-Za-z0-9+/_\-.]{16,}={0,2})"
-HOLDS = r"(?=.*[0-9])[A-Za-z0-9+/_\-.]{16}|[A-Za-z0-9+/_\-.]{16}.*[0-9]"
-
+HOLDS = r"[A-Za-z0-9+/_\-.]{16}"
 #: Words by which people name secrets, and words that stand next to harmless strings.
 NAMING = r"(?i)(token|secret|passw|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private|credential|auth|bearer|client[_-]?id|signature)"
 HARMLESS = r"(?i)(commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|version|build|revision|example|sample|image|integrity|etag|order|invoice|card|phone|isbn|test|dummy)"
+#: A value assigned within a word (not the address after a scheme), and words after which the next one is a value.
+OWN = r"[A-Za-z0-9_\])\"'](?:=>|:=|=|:(?!//))[\"'`]*([^\"'`]{6,})"
+BARE = r"^[\"'`(\[{<]*([^\"'`]*)"
+NAMED = NAMING + r"[A-Za-z0-9_\-]{0,12}[\"'`\])]*(=>|:=|=|:)?[\"'`]?$"
+SIGN = r"(^(=>|is|was)|=|:)$"
+#: What code and prose have in place of a value.
+CODE = r"(?i)[({\[$<]|^(required|missing|invalid|optional|default|changed|expired|hidden|string|number|integer|boolean|unknown|undefined|disabled|enabled|reset)|(passw|token|secret|\bkey\b|environ|config|getenv)"
 #: Frequent syllables and words of the languages at hand.
 DICTIONARY = "tion|ment|ing|ung|keit|heit|ción|mente|the|and|that|with|for|are|was|der|die|und|sch|ich|ein|que|les|des|los|las|con|est|une|pour|por|ver|ent|ter|ere|ion|ed|er|on|an|re|in|es|en|th|st|ar|le|de|la|or|al|is|it|at|ou"
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
     """df (text) with `_c`: array<struct<before, word, secret, after>>."""
-    df = df.withColumn("_w", F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"))
-    df = df.withColumn("_i", F.filter(F.transform("_w", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(HOLDS), i)), lambda i: i.isNotNull()))
-    word = lambda i: F.coalesce(F.get(F.col("_w"), i), F.lit(""))
+    # a word goes with its neighbours: words fetched by place would be split anew for each place
+    w = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
+    ahead = lambda n: F.concat(F.array(*[F.lit("")] * n), w)
+    df = df.withColumn("_w", F.arrays_zip(w.alias("w"), ahead(1).alias("p"), ahead(2).alias("q"), F.slice(w, F.lit(2), F.size(w)).alias("n")))
+    follows = lambda x: x["p"].rlike(SIGN) | x["p"].rlike(NAMED)
+    some = lambda x: (F.length(x["w"]) >= 6) & (x["w"].rlike(HOLDS) | follows(x) | x["w"].rlike(OWN))
 
-    def own(i):
-        before, after = F.concat_ws(" ", word(i - 2), word(i - 1)), word(i + 1)
-        inside = F.filter(F.regexp_extract_all(word(i), F.lit(CANDIDATE), F.lit(1)), lambda s: s.rlike("[0-9]"))
-        return F.transform(inside, lambda s: F.struct(before.alias("before"), word(i).alias("word"), s.alias("secret"), after.alias("after")))
+    def own(x):
+        runs = F.filter(F.regexp_extract_all(x["w"], F.lit(CANDIDATE), F.lit(1)), lambda s: s.rlike("[A-Za-z0-9]"))
+        inside, bare = F.regexp_extract(x["w"], OWN, 1), F.regexp_extract(x["w"], BARE, 1)
+        value = F.when(inside != "", inside).when(follows(x), bare)
+        # longest first: a value that holds a run is replaced before it
+        values = F.filter(F.array(F.rtrim(value, F.lit("\"'`,;.)]}>"))), lambda s: F.length(s) >= 6)
+        return F.transform(F.array_distinct(F.concat(values, runs)), lambda s: F.struct(F.concat_ws(" ", x["q"], x["p"]).alias("before"), x["w"].alias("word"), s.alias("secret"), F.coalesce(x["n"], F.lit("")).alias("after")))
 
-    return df.withColumn("_c", F.flatten(F.transform("_i", own))).drop("_w", "_i")
+    return df.withColumn("_c", F.flatten(F.transform(F.filter("_w", some), own))).drop("_w")
 
 
 def features(c: Column) -> Column:
@@ -78,6 +92,11 @@ def features(c: Column) -> Column:
         flag(near.rlike(NAMING)),
         flag(near.rlike(HARMLESS)),
         flag(c["before"].rlike("(=|:=?)$") | c["word"].rlike("[=:][\"']?[A-Za-z0-9+/_\\-.]{16}")),
+        share("[A-Za-z0-9+/_\\-.=]"),
+        flag(s.rlike("^[A-Z]?[a-z]+$|^[A-Z]+$")),
+        flag(s.rlike(CODE)),
+        flag(c["before"].rlike(NAMING + r"[A-Za-z0-9_\-]{0,12}[\"'`\])]* *(=>|:=|=|:|is|was)[\"'`]?$") | c["word"].rlike(NAMING + r"[A-Za-z0-9_\-]{0,12}[\"'`\])]*(=>|:=|=|:)")),
+        flag(c["word"].rlike("^[^\"'`]*[\"'`].*[\"'`]")),
     )
 
 
@@ -92,6 +111,9 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, int]]:
     aside = lambda: rng.choice(["commit", "sha256", "md5", "checksum", "build", "hash", "etag", "image", "revision"])
     sign = lambda: rng.choice([' = "', "=", ": ", ' := "', " "])
     case = lambda s: s.upper() if rng.random() < 0.25 else s
+    secret = lambda: rng.choice(["password", "Password", "passwd", "pwd", "PASSWORD", "db_password", "secret", "token", "api_key", "passphrase_secret"])
+    assign = lambda: rng.choice([" = ", "=", ": ", ":", " := ", " is "])
+    mixed = lambda: "".join(rng.choice([w, w.capitalize()]) for w in [word(rng.randint(1, 3))]) + rng.choice(["", "!", "@", "&", "#"]) + str(rng.randint(1, 9999)) + rng.choice(["", "!", "$", "&x"])
     yes = [
         lambda: f"{name()}{sign()}{case(pick(hexa, rng.choice([32, 40, 40, 64])))}",
         lambda: f"{name()}{sign()}{pick(alnum, rng.randint(20, 60))}",
@@ -99,6 +121,11 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"{word(2)} {rng.choice(['ghp_', 'gho_', 'glpat-', 'sk-', 'xoxb-', 'AIza'])}{pick(alnum, rng.randint(30, 40))}",
         lambda: f"Bearer eyJ{pick(alnum, 30)}.{pick(alnum, 40)}.{pick(alnum + '-_', 40)}",
         lambda: f"{word(2)} {pick(alnum + '+/', 44)}=",
+        lambda: f"{secret()}{assign()}{pick(alnum + '!@#%&*?+-_', rng.randint(7, 15))}",
+        lambda: f"{secret()}{assign()}{mixed()}",
+        lambda: f"{secret()}{assign()}{pick(string.ascii_letters, rng.randint(7, 30))}",
+        lambda: f"{secret()}{assign()}{''.join(rng.choice(['correct', 'horse', 'battery', 'staple', 'dragon', 'monkey', 'winter', 'sunny', 'orange', 'purple']) for _ in range(rng.randint(2, 4)))}",
+        lambda: f"{secret()}{assign()}{pick(alnum, rng.randint(4, 12))}{rng.choice('!@#%&')}{pick(alnum, rng.randint(4, 20))}",
     ]
     no = [
         lambda: f"{aside()}{sign()}{case(pick(hexa, rng.choice([32, 40, 64])))}",
@@ -111,6 +138,10 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"version {rng.randint(1, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 9)}-{word(3)}-{rng.randint(2000, 2030)}",
         lambda: f"mail {word(2)}.{word(2)}{rng.randint(1, 99)}@mail{rng.randint(1, 99)}.{word(3)}.example.com",
         lambda: f"on {rng.randint(2000, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12:30:00.{pick(string.digits, 6)}Z and {pick(low, 6)}_{pick(low, 6)}_{rng.randint(10, 99)}_{pick(low, 5)}",
+        lambda: f"{word(2)} {rng.choice([name, secret])()} {word(rng.randint(2, 5))}",
+        lambda: f"{secret()}{assign()}{rng.choice(['required', 'missing', 'invalid', 'os.environ[KEY]', 'getPassword()', '${DB_PASSWORD}', 'changed', 'optional', 'config.password', '<password>', 'undefined', 'string'])}",
+        lambda: f"{word(2)}{rng.choice([' = ', ': ', '='])}{rng.choice([word(rng.randint(2, 5)), word(2).capitalize() + word(1), str(rng.randint(100000, 99999999)), f'{word(2)}({word(1)})', f'{word(2)}_{word(2)}'])}",
+        lambda: f"{word(2)} {rng.choice([word(rng.randint(7, 10)), word(rng.randint(7, 10)).capitalize(), f'{word(4)}-{word(4)}', f'{word(4)}/{word(4)}', f'{word(4)}.{word(4)}'])}",
     ]
     return [(f"{word(2)} {(f := rng.choice(yes if i % 2 else no))()}{'"' if rng.random() < 0.2 else ''} {word(3)}", i % 2) for i in range(n)]
 
@@ -168,6 +199,9 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None, mo
     if rows not in _grown:
         df = spark.createDataFrame(list(rows), "text string, secret int")
         df = with_candidates(df).select("secret", F.get("_c", F.lit(0)).alias("c"))
+        lost = df.filter("c is null and secret = 1").count()
+        if lost:
+            warnings.warn(f"{lost} of {sum(y for _, y in rows)} labelled secrets have no candidate and are not learnt", stacklevel=2)
         got = df.filter("c is not null").select("secret", features(F.col("c")).alias("f")).collect()
         _grown[rows] = grow_forest(np.array([r.f for r in got]), np.array([r.secret for r in got], float))
     return _grown[rows]

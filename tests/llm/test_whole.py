@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from condensa.llm import chat, decontamination
+from condensa.llm import chat, decontamination, secret_scan
 
 from .test_rest import leaks_by_hand
 
@@ -35,3 +35,22 @@ def test_windows_between_anchors(spark):
     assert 0.8 <= got[0, 1] < 0.81
     want = leaks_by_hand(docs, items)
     assert got.keys() >= want.keys() and all(got[k] >= v - 1e-12 for k, v in want.items())
+
+
+def test_short_and_broken_secrets(spark):
+    """Values under 16 characters, with punctuation or without digits reach the forest and are redacted."""
+    held = [
+        ("password = Tr0ub4dor&3", "password = [SECRET]"),
+        ("the password: hunter22 ok", "the password: [SECRET] ok"),
+        ("api_key='abc!defg@hij#12' x", "api_key='[SECRET]' x"),
+        ("password=letmeinplease", "password=[SECRET]"),
+        ("token=QwxZrTplKmNbVcHgFdSaYuIo", "token=[SECRET]"),
+        ("secret garden party", None),
+        ("token economy", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert [out[i] for i in range(len(held))] == [want or t for t, want in held]
+    drawn = secret_scan.labelled_findings(800, seed=99)
+    df = spark.createDataFrame([(t, y) for t, y in drawn], "text string, y int")
+    assert secret_scan.with_candidates(df).filter("y = 1 and size(_c) = 0").count() == 0  # candidate recall
