@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_of
-from .token_cache import encoder
+from .shared import blocks_of, release
+from .token_cache import SLICE_BYTES, encoder
 
 GROUP_BYTES = 24 << 20
 
@@ -53,14 +53,14 @@ def _tokens(path: str, end_id: int):
         tail = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             text = batch.column(1)
-            step = max(1, int(len(text) * (8 << 20) / max(1, text.nbytes)))
+            step = max(1, int(len(text) * SLICE_BYTES / max(1, text.nbytes)))
             for i in range(0, len(text), step):
                 ids, counts = enc.encode(text.slice(i, step))
                 raw, ends = ids.tobytes(), np.cumsum(counts) * enc.dtype.itemsize
                 begins = ends - counts * enc.dtype.itemsize
                 own = [raw[a:b] + tail for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, step), pa.array(own, pa.binary())], ["doc_id", "ids"])
-        pa.default_memory_pool().release_unused()
+            release()
 
     return run
 
@@ -93,6 +93,8 @@ def _packed(path: str, capacity: int):
             cut = [np.frombuffer(ids[k], f"<u{width}", m, a * width).astype("<u4").tobytes() for k, a, m in zip(d.tolist(), s.tolist(), n.tolist(), strict=True)]
             cols = [pa.array([docs[k] for k in d.tolist()], pa.int64()), pa.array(s), pa.array(n), pa.array(cut, pa.binary()), pa.array(total[d]), pa.array(sid[i : i + 512]), pa.array(at[i : i + 512])]
             yield pa.RecordBatch.from_arrays(cols, _NAMES)
+        del docs, ids
+        release()
 
     return run
 

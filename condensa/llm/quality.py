@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .shared import release
+
 #: Words that a repeat needs to count.
 LEAST = 8
 #: The method's limits: share of a text's words that repeats may cover, and the longest repeat, as
@@ -178,6 +180,6 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 yield some.filter(pa.array(verdict(features(some.column(at)), **limits)[1]))
-        pa.default_memory_pool().release_unused()
+            release()
 
     return docs.mapInArrow(run, docs.schema)

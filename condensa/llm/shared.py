@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -41,3 +43,12 @@ def blocks_of(rows: int, per_block: int, least: int = 1, most: int | None = None
     """How many blocks of about per_block rows."""
     n = max(least, -(-int(rows) // per_block))
     return n if most is None else min(n, most)
+
+
+def release() -> None:
+    """Give back to the system what a Python worker has freed, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -25,15 +25,23 @@ _ODD = (
     "|[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}][ \\n]"
     "|^[ \\n]|[ \\n]$"
 )
-_END, _MARKS = "<|endoftext|>", (",", ".")
-#: Distinct parts that a worker remembers; beyond it, it starts afresh.
-MOST_PARTS = 700_000
+_MARKS = (",", ".")
+#: A private-use character between parts, a piece by itself between spaces.
+_BETWEEN = " \ue000 "
+_WS_OR_BETWEEN = frozenset("\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ue000")
+_NOT_PLAIN = re.compile(f"[{_WS}\ue000]")
+#: Parts in one text for the library.
+_TOGETHER = 128
+#: Distinct parts that a worker remembers; beyond it, it goes on with those that it met again.
+MOST_PARTS = 300_000
 #: UTF-8 bytes of text handled at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class PartTable:
-    """Parts seen so far and, for each, a row of values (ids, or one count)."""
+    """Parts seen so far and, for each, a row of values (ids, or one count). A full table keeps the parts
+    met in more than one slice since it was last full, so frequent parts are worked out once and rare ones
+    make room."""
 
     def __init__(self, values_of, dtype, most: int = MOST_PARTS):
         """values_of: list of parts -> (values of all, values per part)."""
@@ -45,16 +53,26 @@ class PartTable:
         self.flat = np.empty(1 << 16, self._dtype)
         self.starts = np.empty(1 << 14, np.int64)
         self.lens = np.empty(1 << 14, np.int64)
+        self._again = np.zeros(1 << 14, bool)
         self.used = 0
 
-    def _add(self, parts: list[str]) -> None:
-        values, lens = self._values_of(parts)
+    def _make_room(self, new: int) -> None:
+        keep = np.flatnonzero(self._again[: len(self.at)])
+        if len(keep) + new > self._most:
+            return self._forget()
+        names, flat = list(self.at), self.gather(keep)
+        lens = self.lens[keep]
+        self._forget()
+        self._put([names[i] for i in keep.tolist()], flat, lens)
+
+    def _put(self, parts: list[str], values: np.ndarray, lens: np.ndarray) -> None:
         total, n = len(values), len(self.at)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + len(parts) > len(self.lens):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lens = np.concatenate([self.lens, np.empty_like(self.lens)])
+            self._again = np.concatenate([self._again, np.zeros_like(self._again)])
         ends = self.used + np.cumsum(lens)
         self.flat[self.used : self.used + total] = values
         self.starts[n : n + len(parts)], self.lens[n : n + len(parts)] = ends - lens, lens
@@ -64,12 +82,14 @@ class PartTable:
     def index(self, parts: list[str]) -> np.ndarray:
         """Rows of these parts."""
         if len(self.at) + len(parts) > self._most:
-            self._forget()
+            self._make_room(len(parts))
         rows = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
         new = np.flatnonzero(rows < 0)
+        self._again[rows[rows >= 0]] = True
         if len(new):
             missing = [parts[i] for i in new.tolist()]
-            self._add(list(dict.fromkeys(missing)))
+            once = list(dict.fromkeys(missing))
+            self._put(once, *self._values_of(once))
             rows[new] = np.fromiter(map(self.at.get, missing), np.int64, len(missing))
         return rows
 
@@ -102,7 +122,7 @@ def parts_of(texts: pa.Array, spaced: bool):
     lens = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
     empty = (pc.binary_length(plain).to_numpy(zero_copy_only=False) == 0) & (lens == 1)
     code = pieces.flatten().dictionary_encode()
-    number, words = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.to_pylist()
+    number, words = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.to_numpy(zero_copy_only=False).tolist()
     first = np.cumsum(lens) - lens
     if spaced:
         bare = np.zeros(len(number) + 1, bool)
@@ -141,25 +161,50 @@ class CachedEncoder:
         self.spaced = '"normalizer":null' in self._lib.to_str().replace(" ", "")[:4000]
         small = self._lib.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self._end = self._lib.token_to_id(_END)
+        if self.spaced:  # a token of the byte vocabulary has a letter a byte
+            vocab = self._lib.get_vocab()
+            self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self._bytes[list(vocab.values())] = list(map(len, vocab))
+        else:
+            self._between = np.array(self._lib.encode(_BETWEEN, add_special_tokens=False).ids)
         self._table = PartTable(self._library, self.dtype, most)
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        some = [np.array(e.ids, np.int64) for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int64), *some])
+
     def _library(self, parts: list[str]):
-        """One call for many parts: the vocabulary's own end-of-text string, whose id nothing else
-        has, stands between them, and the library encodes what lies between such strings by itself."""
-        ids, lens = [], []
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            if not any(_END in p for p in some):
-                got = np.asarray(self._lib.encode(_END.join([*some, ""]), add_special_tokens=False).ids)
-                at = np.flatnonzero(got == self._end)
-                ids.append(got[got != self._end])
-                lens.append(np.diff(at, prepend=-1) - 1)
-            else:
-                each = [e.ids for e in self._lib.encode_batch_fast(some, add_special_tokens=False)]
-                ids.append(np.fromiter((v for e in each for v in e), np.int64))
-                lens.append(np.fromiter(map(len, each), np.int64, len(each)))
-        return np.concatenate(ids), np.concatenate(lens)
+        """Ids of many parts by few calls of the library. Plain parts (no white space within, no special
+        string) are put together into texts. In the byte vocabulary every id stands for a known number of bytes, so
+        the parts' own bytes say which ids are whose; a part without a space before it gets a line break,
+        a piece by itself. In the other one a character that is no part's own stands between parts."""
+        plain = [p != "" and not _NOT_PLAIN.search(p, 1) and p[0] not in _WS_OR_BETWEEN and "<|" not in p for p in parts]
+        if not all(plain):
+            odd = [p for p, x in zip(parts, plain, strict=True) if not x]
+            each = [e.ids for e in self._lib.encode_batch_fast(odd, add_special_tokens=False)]
+            flat, lens = self._library([p for p, x in zip(parts, plain, strict=True) if x])
+            at = np.array(plain, bool)
+            counts = np.empty(len(parts), np.int64)
+            counts[at], counts[~at] = lens, list(map(len, each))
+            out, own = np.empty(counts.sum(), np.int64), np.repeat(at, counts)
+            out[own], out[~own] = flat, [v for e in each for v in e]
+            return out, counts
+        if self.spaced:
+            bare = np.array([p[0] != " " for p in parts], bool)
+            joined = [p if p[0] == " " else "\n" + p for p in parts]
+            ids = self._ids(["".join(joined[i : i + _TOGETHER]) for i in range(0, len(joined), _TOGETHER)])
+            size = pc.binary_length(pa.array(joined, pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(size)) + 1
+            lens = np.diff(ends, prepend=0)
+            return np.delete(ids, (ends - lens)[bare]), lens - bare
+        ids = self._ids([_BETWEEN.join(["", *parts[i : i + _TOGETHER]]) for i in range(0, len(parts), _TOGETHER)])
+        k = len(self._between)
+        hit = np.ones(max(0, len(ids) - k + 1), bool)
+        for j, x in enumerate(self._between.tolist()):
+            hit &= ids[j : len(hit) + j] == x
+        begins = np.flatnonzero(hit)
+        lens = np.diff(np.append(begins, len(ids))) - k
+        return np.delete(ids, (begins[:, None] + np.arange(k)).ravel()), lens
 
     def encode(self, texts: pa.Array):
         ids, counts, table = [], [], self._table

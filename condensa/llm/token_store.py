@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
-from .token_cache import encoder
+from .shared import new_path, release
+from .token_cache import SLICE_BYTES, encoder
 
 _HEAD = struct.Struct("<4sIQQQI")
 _SAMPLE = 64
@@ -129,7 +129,7 @@ def _segments(path: str, end_id: int, most: int):
 
         for batch in batches:
             text = batch.column(1)
-            step = max(1, min(most // 256, int(len(text) * (8 << 20) / max(1, text.nbytes))))
+            step = max(1, min(most // 256, int(len(text) * SLICE_BYTES / max(1, text.nbytes))))
             for i in range(0, len(text), step):
                 ids, counts = enc.encode(text.slice(i, step))
                 at = np.cumsum(counts)
@@ -140,6 +140,7 @@ def _segments(path: str, end_id: int, most: int):
                     yield blob()
         if docs:
             yield blob()
+        release()
 
     return run
 
