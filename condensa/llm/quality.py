@@ -2,9 +2,13 @@
 limits on what maximal repeated substrings cover and on the longest of them.
 
 Many texts share one array: every position's rank orders it by text, then by the words from there on.
-Ranks come from prefix tripling up to eight words and doubling beyond, the latter only where eight
-words recur within a text, so the array is complete wherever two suffixes share eight words or more.
-Maximal repeats are the spans that neighbours in the array share; their union is taken per text.
+Ranks come from prefix doubling, beyond LEAST words only where so many recur within a text, so the array is
+complete wherever two suffixes share LEAST words or more. Maximal repeats are the spans that neighbours
+in the array share; their union is taken per text, once of all of them and once of those that the base rule counts.
+
+The verdict rejects what the base rule cannot see: texts of many short repeats (a word or phrase said over and
+over, a menu of few entries), of which maximal repeats of LEAST words or more cover MOST_COVERED, and texts with one
+repeat that is long by itself and for the text.
 
 Nulls: a null text has no words and fails the base rule. Every row gives one row; repeated rows each.
 Other columns are kept by keep_quality and ignored by quality_features.
@@ -19,15 +23,15 @@ from pyspark.sql import DataFrame
 
 from .shared import release
 
-#: Words that a repeat needs to count.
-LEAST = 8
+#: Words that a repeat needs to count for the method, and for the base rule.
+LEAST, BASE_LEAST = 4, 8
 #: The method's limits: share of a text's words that repeats may cover, and the longest repeat, as
 #: words and as a share of the text. A repeat is too long if it passes both of its limits.
-MOST_COVERED, LONGEST_WORDS, LONGEST_SHARE = 0.3, 50, 0.2
+MOST_COVERED, LONGEST_WORDS, LONGEST_SHARE = 0.3, 50, 0.1
 #: Texts beyond this many bytes start a new array.
 SLICE_BYTES = 2 << 20
 
-_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
+_FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "n_covered_words"]
 _SYMBOL, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -42,29 +46,22 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return rank
 
 
-def repeats(words: np.ndarray, lens: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(covered words, longest repeat in words) of each text. words: their codes, text after text."""
+def repeats(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: words covered by maximal repeats of BASE_LEAST words or more, the longest of those (0 without one), and words
+    covered by maximal repeats of LEAST words or more. words: their codes, text after text."""
     n_texts = len(lens)
-    covered, longest = np.zeros(n_texts, np.int64), np.zeros(n_texts, np.int64)
-    if least != 8:
-        raise ValueError("ranks are built for eight words")
-    # every text is followed by eight empty words (code 0), so that a window never meets the next text
-    begins = np.cumsum(lens + 8) - (lens + 8)
-    size = int((lens + 8).sum())
-    code = np.zeros(size + 16, np.int64)
+    covered, longest, wide = (np.zeros(n_texts, np.int64) for _ in range(3))
+    # every text is followed by LEAST empty words (code 0), so that a window never meets the next text
+    begins = np.cumsum(lens + LEAST) - (lens + LEAST)
+    size = int((lens + LEAST).sum())
+    code = np.zeros(size + 2 * LEAST, np.int64)
     at = np.arange(len(words)) + np.repeat(begins - (np.cumsum(lens) - lens), lens)
     code[at] = words + 1
-    text = np.repeat(np.arange(n_texts), lens + 8)
+    text = np.repeat(np.arange(n_texts), lens + LEAST)
     real = code[:size] > 0
-    top = int(code.max()) + 1
-    if top >= 1 << 21:
-        raise ValueError("too many distinct words for one array")
-    three = _dense((code[:-2] * top + code[1:-1]) * top + code[2:])
-    if int(three.max(initial=0)) >= 1 << 21:
-        eight = _dense((_dense((three[:size] << 32) | three[3 : size + 3]) << 32) | three[5 : size + 5])
-    else:
-        eight = _dense((three[:size] << 42) | (three[3 : size + 3] << 21) | three[5 : size + 5])
-    key = (text << 32) | eight
+    two = _dense((code[:-1] << 32) | code[1:])
+    four = _dense((two[:size] << 32) | two[2 : size + 2])
+    key = (text << 32) | four
     key[~real] = -1 - np.arange(size)[~real]
     order = np.argsort(key)
     own = key[order]
@@ -73,10 +70,10 @@ def repeats(words: np.ndarray, lens: np.ndarray, least: int = LEAST) -> tuple[np
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(size), 0))
     shared = ~new
     shared[:-1] |= ~new[1:]
-    open_ = order[shared]  # positions whose eight words recur in their text
+    open_ = order[shared]  # positions whose next LEAST words recur in their text
     if not len(open_):
-        return covered, longest
-    levels, step = [rank.copy()], 8
+        return covered, longest, wide
+    levels, step = [rank.copy()], LEAST
     first = open_
     while len(open_):
         after = np.minimum(open_ + step, size)
@@ -99,17 +96,19 @@ def repeats(words: np.ndarray, lens: np.ndarray, least: int = LEAST) -> tuple[np
     left, right = a.copy(), b.copy()
     for k in range(len(levels) - 1, -1, -1):
         hop = (levels[k][np.minimum(a, size)] == levels[k][np.minimum(b, size)]) & (a < size) & (b < size)
-        a, b = np.where(hop, a + (8 << k), a), np.where(hop, b + (8 << k), b)
-    for _ in range(8):
+        a, b = np.where(hop, a + (LEAST << k), a), np.where(hop, b + (LEAST << k), b)
+    for _ in range(LEAST):
         hop = (code[np.minimum(a, size)] == code[np.minimum(b, size)]) & (code[np.minimum(a, size)] > 0)
         a, b = a + hop, b + hop
     common = a - left
-    reach = np.zeros(size, np.int64)
-    np.maximum.at(reach, left, left + common)
-    np.maximum.at(reach, right, right + common)
-    covered += np.bincount(text[np.maximum.accumulate(reach) > np.arange(size)], minlength=n_texts)
-    np.maximum.at(longest, text[left], common)
-    return covered, longest
+    counts = common >= BASE_LEAST
+    for out, some in ((wide, slice(None)), (covered, counts)):
+        reach = np.zeros(size, np.int64)
+        np.maximum.at(reach, left[some], (left + common)[some])
+        np.maximum.at(reach, right[some], (right + common)[some])
+        out += np.bincount(text[np.maximum.accumulate(reach) > np.arange(size)], minlength=n_texts)
+    np.maximum.at(longest, text[left[counts]], common[counts])
+    return covered, longest, wide
 
 
 def _slices(texts: pa.Array):
@@ -137,12 +136,12 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
         full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
         codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[full]
         lens = np.bincount(owner[full], minlength=len(some))
-        covered, longest = repeats(codes, lens)
+        covered, longest, wide = repeats(codes, lens)
         dup = []
         for t in some.to_pylist():
             lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] if "\n" in t else []
             dup.append(len(lines) - len(set(lines)))
-        own = (lens, pc.utf8_length(some).to_numpy(zero_copy_only=False) - total(_SPACE[raw]), total(_SYMBOL[raw]), dup, covered, longest)
+        own = (lens, pc.utf8_length(some).to_numpy(zero_copy_only=False) - total(_SPACE[raw]), total(_SYMBOL[raw]), dup, covered, longest, wide)
         for k, v in zip(_FEATURES, own, strict=True):
             out[k].append(np.asarray(v, np.int64))
     return {k: np.concatenate([np.empty(0, np.int64), *v]) for k, v in out.items()}
@@ -153,10 +152,10 @@ def verdict(f: dict[str, np.ndarray], most_covered: float = MOST_COVERED, longes
     n = f["n_words"]
     failed = (n < 20) | (100 * f["n_repeat_words"] > 30 * n)
     long = (f["longest_repeat"] > longest_words) & (f["longest_repeat"] > longest_share * n)
-    return failed, ~failed & (f["n_repeat_words"] <= most_covered * n) & ~long
+    return failed, ~failed & (f["n_covered_words"] <= most_covered * n) & ~long
 
 
-_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
+_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, n_covered_words long, base_failed boolean, kept boolean"
 
 
 def quality_features(docs: DataFrame, **limits) -> DataFrame:
