@@ -86,6 +86,12 @@ def weighted_jaccard(a: str, b: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_words of the best window of each pair of a document
     and an item that it holds. docs: doc_id, text. benchmark: item_id, text."""
+    best = _found(docs, benchmark, similarity, radius, words).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start_word"), "best.n_words")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """doc_id, th (the text's hash), item_id and best (similarity, back, n_words) of every window that holds an item."""
     blocks = radius + 1
     items = benchmark.select("item_id", words_of("text").alias("w")).filter("size(w) > 0")
     items = materialise(items.withColumn("k", F.least(F.size("w"), F.lit(words))).withColumn("len", F.size("w")), "items")
@@ -106,11 +112,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         begins = begins.select("th", "len", F.explode_outer(F.expr(_STARTS.format(gap=f"{2 - similarity} * m + 1e-9"))).alias("at")).filter("at is not null")
         per_text = materialise(begins.groupBy("th").agg(F.collect_list(F.struct("at", "len")).alias("spots")), "spots")
         few = F.broadcast(per_text) if per_text.count() <= BROADCAST_ROWS // 10 else per_text
-        held = named.join(few, "th").select("doc_id", "spots", words_of("text").alias("w")).select("doc_id", "spots", shingles_of("w", k).alias("dh"))
+        held = named.join(few, "th").select("doc_id", "th", "spots", words_of("text").alias("w")).select("doc_id", "th", "spots", shingles_of("w", k).alias("dh"))
         begin = lambda s: F.greatest(F.lit(0), s["at"])
         end = lambda s: F.least(s["at"] + s["len"] - (k - 1), F.size("dh"))
-        held = held.select("doc_id", F.transform("spots", lambda s: F.struct(begin(s).alias("begin"), s["len"].alias("len"), F.slice("dh", begin(s) + 1, end(s) - begin(s)).alias("wh"))).alias("windows"))
-        windows = held.select("doc_id", F.inline_outer("windows"))
+        held = held.select("doc_id", "th", F.transform("spots", lambda s: F.struct(begin(s).alias("begin"), s["len"].alias("len"), F.slice("dh", begin(s) + 1, end(s) - begin(s)).alias("wh"))).alias("windows"))
+        windows = held.select("doc_id", "th", F.inline_outer("windows"))
         windows = materialise(windows.withColumn("key", F.xxhash64("wh", F.size("wh"))), "windows")
         contents = windows.groupBy("len", "key").agg(F.first("wh").alias("wh"))
         contents = materialise(contents.withColumn("fp", simhash("wh")), "contents")
@@ -120,17 +126,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         x = F.col("fp").bitwiseXOR(F.col("ifp"))
         pairs = marked.join(against, ["len", "block", "bits"]).filter((F.bit_count(x) <= radius) & (first_equal_block(x, blocks) == F.col("block")))
         same = pairs.select("len", "key", "item_id", F.size("wh").alias("n"), weighted_jaccard("wh", "ih").alias("similarity")).filter(F.col("similarity") >= similarity)
-        at = windows.select("doc_id", "begin", "len", "key").distinct()
-        part = at.join(same, ["len", "key"]).select("doc_id", "item_id", F.struct("similarity", (-F.col("begin")).alias("back"), (F.col("n") + (k - 1)).alias("n_words")).alias("best"))
+        at = windows.select("doc_id", "th", "begin", "len", "key").distinct()
+        part = at.join(same, ["len", "key"]).select("doc_id", "th", "item_id", F.struct("similarity", (-F.col("begin")).alias("back"), (F.col("n") + (k - 1)).alias("n_words")).alias("best"))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
-    best = found.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
-    return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("start_word"), "best.n_words")
+        return docs.sparkSession.createDataFrame([], "doc_id long, th long, item_id long, best struct<similarity:double,back:int,n_words:int>")
+    return found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """docs without those that hold an item. Rows without doc_id stay. The ids to drop are broadcast up
-    to BROADCAST_ROWS of them."""
-    drop = materialise(leaks(docs, benchmark, **limits).select("doc_id").filter("doc_id is not null").distinct(), "leaking")
-    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text holds an item, whatever their doc_id. The hashes of such texts are broadcast up to
+    BROADCAST_ROWS of them."""
+    drop = materialise(_found(docs, benchmark, **limits).select(F.col("th").alias("_leaking_hash")).distinct(), "leaking")
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, F.xxhash64("text") == F.col("_leaking_hash"), "left_anti").select(docs.columns)

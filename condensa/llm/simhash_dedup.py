@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import materialise, release
 
 RADIUS = 3
 SHINGLE = 3
@@ -47,15 +47,18 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id, th (hash of the text, which with doc_id names a row), fp (the fingerprint's bits as a long)."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                fp = np.array([fingerprint(t.as_py()) for t in batch.column(1).slice(i, 1024)], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1024), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                some = batch.slice(i, 1024)
+                fp = np.array([fingerprint(t.as_py()) for t in some.column(2)], np.uint64)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
+            release()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return own.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _differing(a: np.ndarray, b) -> np.ndarray:
@@ -132,15 +135,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs (doc_id, text). component_id is the smallest doc_id
-    that links reach."""
+    """doc_id, th, fp, root, component_id of every row of docs (doc_id, text). root is the same in a class and in no other;
+    component_id is the smallest doc_id that links reach."""
     fps = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(distinct))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = materialise(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp) -> F.Column:
@@ -148,13 +151,20 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate class: that of the smallest doc_id. Rows without doc_id
-    stay. Rows that share a doc_id are one document: one of them, of the smallest text, stays."""
-    found = materialise(near_duplicates(docs), "near-duplicates")
-    n = found.agg(F.count("doc_id"), F.count_distinct("doc_id"), F.sum((F.col("doc_id") != F.col("component_id")).cast("long"))).first()
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(F.broadcast(drop) if (n[2] or 0) <= BROADCAST_ROWS else drop, "doc_id", "left_anti").select(docs.columns)
-    if n[0] == n[1]:
+    """docs with one row of each near-duplicate class: that of the smallest doc_id, rows without one last; of rows that share it that of the
+    smallest text hash, and of rows that share both the smallest by their other columns. A row is named by doc_id and text, so rows that
+    share a doc_id and have different texts are documents of their own."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    found = materialise(near_duplicates(docs).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "near-duplicates")
+    best = found.groupBy("root").agg(F.min(F.struct(name.alias("name"), "n")).alias("best"))
+    rest = materialise(found.join(best, "root").filter(~name.eqNullSafe(F.col("best.name"))).select(F.col("doc_id").alias("_near_id"), F.col("th").alias("_near_hash")), "dropped")
+    again = materialise(best.filter("best.n > 1").select(F.col("best.name.doc_id").alias("_near_id"), F.col("best.name.th").alias("_near_hash")), "repeated")
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64("text") == F.col("_near_hash"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    left = docs.join(few(rest), here, "left_anti").select(docs.columns)
+    if again.isEmpty():
         return left
-    once = left.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return once.select(*[F.col(c) if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).unionByName(left.filter("doc_id is null"))
+    alone, repeated = left.join(few(again), here, "left_anti"), left.join(few(again), here, "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    once = repeated.groupBy("doc_id", F.xxhash64("text").alias("_near_hash")).agg(F.min(whole).alias("_near_row"))
+    return alone.select(docs.columns).unionByName(once.select(*[F.col(f"_near_row.{c}").alias(c) for c in docs.columns]))
