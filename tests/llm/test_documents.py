@@ -24,12 +24,13 @@ def measures(t):
     w = WORD.findall(t or "")
     grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     cover = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    fours = Counter(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+    wide = {j for i in range(len(w) - 3) if fours[tuple(w[i : i + 4])] > 1 for j in range(i, i + 4)}
     lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-    longest = 0
-    for i in range(len(w)):
-        while i + longest < len(w) and longest < 900 and any(w[j : j + longest + 1] == w[i : i + longest + 1] for j in range(i)):
-            longest += 1
-    return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), longest if longest >= 8 else 0
+    longest, k = 0, 8  # the longest run of words that comes twice, by its length
+    while k <= len(w) and len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) < len(w) - k + 1:
+        longest, k = k, k + 1
+    return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), longest, len(wide)
 
 
 def test_quality(spark, sf, odd):
@@ -39,12 +40,11 @@ def test_quality(spark, sf, odd):
         got = of.collect()
         assert len(got) == df.count()
         for r in got:
-            short = len(texts[r.doc_id] or "") < 1500
-            want = measures(texts[r.doc_id]) if short else None
-            if short:
-                assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.longest_repeat) == want
-            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-            assert not (r.base_failed and r.kept)
+            n, *rest = want = measures(texts[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.longest_repeat, r.n_covered_words) == want
+            assert r.base_failed == (n < 20 or 100 * rest[3] > 30 * n)
+            long = rest[4] > quality.LONGEST_WORDS and rest[4] > quality.LONGEST_SHARE * n
+            assert r.kept == (not r.base_failed and rest[5] <= quality.MOST_COVERED * n and not long)
     kept = quality.keep_quality(odd)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {11}
@@ -55,10 +55,31 @@ def test_repeats_many_texts():
     texts = [list(rng.integers(0, k, n)) for k, n in ((2, 60), (3, 200), (40, 300), (1, 77), (5, 0), (9, 8))]
     texts[2] = texts[2] * 2
     lens = np.array(list(map(len, texts)))
-    cover, longest = quality.repeats(np.concatenate(texts).astype(np.int64), lens)
-    for t, c, m in zip(texts, cover, longest, strict=True):
+    cover, longest, wide = quality.repeats(np.concatenate(texts).astype(np.int64), lens)
+    for t, c, m, k in zip(texts, cover, longest, wide, strict=True):
         want = measures(" ".join(map(str, t)))
-        assert (c, m) == (want[4], want[5])
+        assert (c, m, k) == (want[4], want[5], want[6])
+
+
+def test_method_decides(spark):
+    """What the base rule lets pass and the method does not: short phrases over and over, and a long passage told twice."""
+    own = [f"w{i}" for i in range(500)]
+    texts = ["of " * 7 + "the " * 7 + "to " * 7 + "more " * 7, " ".join(own), " ".join(own[:60] + own[100:] + own[:60]), " ".join(own[:400] + own[:45])]
+    again = [f"v{i}" for i in range(3)]
+    texts.append(" ".join((again + [f"x{k}", f"y{k}"])[j] for k in range(30) for j in range(5)))  # three words recur, never four
+    texts.append(" ".join([*(f"q{i}" for i in range(80)), *(" ".join(f"z{j}" for j in range(5)) + f" s{i}" for i in range(14))]))
+    got = {r.doc_id: r for r in quality.quality_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].base_failed for i in range(6)] == [False] * 6
+    assert [got[i].kept for i in range(6)] == [False, True, False, True, True, False]
+
+
+def test_quality_long_and_empty(spark):
+    long = " ".join(f"{i:x}" for i in range(400_000)) + " a b c d e f g h i a b c d e f g h i"
+    got = {r.doc_id: r for r in quality.quality_features(spark.createDataFrame([(1, long), (2, "a " * 300_000)], "doc_id long, text string")).collect()}
+    assert got[1].n_repeat_words == 18 and got[1].longest_repeat == 9 and got[1].kept
+    assert got[2].base_failed and got[2].longest_repeat == 299_999
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.quality_features(none).count() == 0 and quality.keep_quality(none).count() == 0
 
 
 def slow_fingerprint(text):
@@ -100,7 +121,19 @@ def test_simhash(spark, sf, odd):
         assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
     kept = simhash_dedup.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, d) for d in sorted({w[2] for w in want if w[2] is not None})]
+    # a row a class: without doc_id where no row of the class has one
+    classes = {w[1]: w[2] for w in want}
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted({(c is None, c or 0) for c in classes.values()})
+
+
+def test_keep_one_by_row(spark):
+    """Rows that share a doc_id and have different texts are documents of their own; equal rows are one; rows without id as well."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, 1), (5, b, 2), (2, b, 3), (2, b, 3), (7, a, 4), (None, a, 5), (None, "c d e f", 6), (None, "c d e f", 7), (None, None, 8), (1, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d int")
+    assert sorted(r.d for r in simhash_dedup.keep_one(df).collect()) == [1, 3, 6, 9]
+    assert sorted(r.d for r in simhash_dedup.keep_one(df.select("d", "text", "doc_id")).collect()) == [1, 3, 6, 9]
+    assert simhash_dedup.keep_one(df.limit(0)).count() == 0 and simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_dense_links(spark):

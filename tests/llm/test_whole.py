@@ -54,3 +54,15 @@ def test_short_and_broken_secrets(spark):
     drawn = secret_scan.labelled_findings(800, seed=99)
     df = spark.createDataFrame([(t, y) for t, y in drawn], "text string, y int")
     assert secret_scan.with_candidates(df).filter("y = 1 and size(_c) = 0").count() == 0  # candidate recall
+
+
+def test_clean_by_row(spark):
+    """A leaking row goes whatever its doc_id, and takes no other row with it; columns of any name stay."""
+    item, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, f"a b {item} c", "x", 1), (1, other, "x", 2), (None, item, "x", 3), (None, None, "x", 4), (2, "", None, 5), (3, item, "y", 6), (3, item, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string, item_id int")
+    bench = spark.createDataFrame([(9, item), (8, None), (7, "")], "item_id long, text string")
+    kept = decontamination.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [2, 4, 5]
+    assert decontamination.keep_clean(docs, bench.filter("item_id = 8")).count() == 7
+    assert decontamination.keep_clean(docs.limit(0), bench).count() == 0
