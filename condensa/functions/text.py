@@ -10,10 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from condensa.plans.dialect import METRIC, TOKEN
-
-#: Tone marks by letter (grave, acute, hook above, tilde, dot below) of the vowels that move.
-_TONES = "̣̀́̉̃"
+#: Token of alignment and n-grams: digits, letters, any other visible character, underscore.
+TOKEN = r"(\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]|_)"
+#: Token of the overlap metrics.
+METRIC = r"([\p{L}\p{N}_]+)"
+#: The five tone marks as combining characters, and the vowel pairs whose mark moves in an open syllable.
+_TONES = "\u0300\u0301\u0303\u0309\u0323"
+_PAIRS = ("oa", "oe", "uy")
 
 
 def tokens(x: Column) -> Column:
@@ -35,7 +38,7 @@ def sentences(x: Column) -> Column:
 
 def detokenize(x: Column) -> Column:
     """Underscores to spaces, no space before closing or after opening marks, runs of space to one."""
-    x = F.regexp_replace(F.regexp_replace(x, "_", " "), r"\s+([,.;:!?)\]}%])", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, "_", " "), r"\s+([,.;:!?)\]}%…])", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"([(\[{])\s+", "$1"), r"\s+", " "))
 
 
@@ -54,27 +57,33 @@ def chat_messages(system: Column | None, user: Column) -> Column:
 
 
 def normalize_number(x: Column) -> Column:
-    """Thousands marks away, decimal comma to a point, whole numbers without a fraction."""
-    plain = F.when(x.rlike(r"^-?\d{1,3}([.,]\d{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(F.regexp_replace(x, ",", "."))
-    return F.regexp_replace(plain, r"\.0+$", "")
+    """Marks after it and thousands marks away, a decimal comma to a point, no zeros that say nothing; what is no number then stays as
+    it is."""
+    x = F.regexp_replace(F.trim(x), "[.,]+$", "")
+    plain = F.replace(F.when(x.rlike(r"^-?\d{1,3}([.,]\d{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(x), F.lit(","), F.lit("."))
+    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(short, r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")
+    return F.when(plain.rlike(r"^-?\d+(\.\d*)?$"), short).otherwise(plain)
+
+
+def _toned(letter: str) -> str:
+    return "".join(unicodedata.normalize("NFC", letter + t) for t in _TONES)
+
+
+#: A pair with the mark on its second letter, not after q and not before a word character, by letter case.
+_MARKED_LATE = re.compile("(?<![qQ])(?:" + "|".join(f"[{x}{x.upper()}][{_toned(y)}{_toned(y.upper())}]" for x, y in _PAIRS) + r")(?!\w)")
 
 
-def _move(m: re.Match) -> str:
-    first, second = unicodedata.normalize("NFD", m[0][0]), unicodedata.normalize("NFD", m[0][1:])
-    tone = "".join(c for c in first if c in _TONES)
-    return unicodedata.normalize("NFC", "".join(c for c in first if c not in _TONES) + second + tone)
+def normalized(text: str) -> str:
+    """NFC, and the tone mark of an open syllable in oa, oe or uy on its first letter; not after q."""
 
+    def earlier(m: re.Match) -> str:
+        letter, mark = unicodedata.normalize("NFD", m[0][1])
+        return unicodedata.normalize("NFC", m[0][0] + mark) + letter
 
-def _normalize(text: str | None) -> str | None:
-    if text is None:
-        return None
-    text = unicodedata.normalize("NFC", text)
-    marked = lambda base: "".join(unicodedata.normalize("NFC", c + t) for c in base for t in _TONES)
-    pattern = rf"(?<![qQ])(?:[{marked('oO')}][aAeE]|[{marked('uU')}][yY])(?!\w)"
-    return re.sub(pattern, _move, text)
+    return _MARKED_LATE.sub(earlier, unicodedata.normalize("NFC", text))
 
 
 @F.pandas_udf(StringType())
 def normalize(x: pd.Series) -> pd.Series:
-    """NFC, and the tone mark of an open syllable in oa, oe or uy on its second letter; not after q."""
-    return x.map(_normalize, na_action="ignore")
+    return x.map(normalized, na_action="ignore")

@@ -6,16 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from condensa.functions.text import METRIC, TOKEN  # noqa: F401
 from condensa.sources.tables import read_table
 
 TABLES = ("documents", "benchmark", "labels", "conversations", "pages", "orders", "lineitem", "events", "customer")
 
-#: Token of alignment and n-grams: digits, letters, any other visible character, underscore.
-TOKEN = r"(\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{N}_\s]|_)"
-#: Token of the overlap metrics.
-METRIC = r"([\p{L}\p{N}_]+)"
-
-
 class SparkSQL:
     def t(self, name: str) -> str:
         return f"condensa_{name}"
@@ -67,10 +62,6 @@ class SparkSQL:
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
-    def fold(self, a: str, start: str, step: str) -> str:
-        """step over acc and u. start is a struct."""
-        return f"aggregate({a}, {start}, (acc, u) -> {step})"
-
     def struct(self, **fields: str) -> str:
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
@@ -131,9 +122,6 @@ class DuckSQL(SparkSQL):
     def sha(self, x: str) -> str:
         return f"sha256({x})"
 
-    def fold(self, a: str, start: str, step: str) -> str:
-        raise NotImplementedError
-
     def struct(self, **fields: str) -> str:
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 

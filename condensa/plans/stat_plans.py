@@ -54,7 +54,7 @@ def non_inferiority(d):
 
 def mde_projected(d):
     """(z for 5% + z for 80%) times the bootstrap's deviation, projected to four times the clusters."""
-    return f"with {_boot(d, 'a - b', seed='mde', replicates=MDE_REPLICATES)} select round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m), 6) as mde_dev, round((1.6448536269514722e0 + 0.8416212335729143e0) * stddev_pop(m) * sqrt(max(n_clusters) / (4e0 * max(n_clusters))), 6) as mde_test from rep cross join point"
+    return f"with {_boot(d, 'a - b', seed='mde', replicates=MDE_REPLICATES)} select round((1.645e0 + 0.842e0) * stddev_pop(m), 6) as mde_dev, round((1.645e0 + 0.842e0) * stddev_pop(m) * sqrt(max(n_clusters) / (4e0 * max(n_clusters))), 6) as mde_test from rep cross join point"
 
 
 def clustered_slope(d):

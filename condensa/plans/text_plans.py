@@ -44,14 +44,6 @@ def eval_coverage(d):
     from need n left join have h on h.source = n.source and h.lang = n.lang"""
 
 
-def unique_text_fanout(d):
-    """Work is done once a distinct text and joined back to every row."""
-    return f"""
-    with uniq as (select md5(text) as h, min(doc_id) as first_id, min(text) as text, count(*) as copies from {d.t("documents")} where text is not null group by md5(text)),
-    worked as (select h, first_id, copies, cast({d.size(d.find_all("lower(text)", TOKEN))} as bigint) as n_tokens from uniq)
-    select d.doc_id, w.first_id, w.copies, w.n_tokens from {d.t("documents")} d join worked w on md5(d.text) = w.h"""
-
-
 def stratified_md5_sample(d):
     return f"""
     select lang, doc_id, quality from (
@@ -96,47 +88,17 @@ def poem_like_filter(d):
     select doc_id, max(m) as n_lines, max(case when r = cast(floor(m / 2e0) as bigint) + 1 then n end) as upper_median, max(m) >= 4 and max(case when r = cast(floor(m / 2e0) as bigint) + 1 then n end) <= 10 as is_poem from k group by doc_id"""
 
 
-def token_and_punct_profile(d):
-    t = d.explode(_tokens(d, "documents", "doc_id"), "toks")
-    return f"""
-    select doc_id, count(*) as n_tokens, count(*) filter (where {d.like("val", r"^\p{P}*$")}) as n_punct, count(*) filter (where {d.like("val", r"^\p{Nd}+$")}) as n_numbers,
-      count(distinct val) as n_types, cast(max(length(val)) as bigint) as longest from {t} x group by doc_id"""
-
-
 def _units(d: SparkSQL) -> str:
     """doc_id, pos (from 0), val, cost, n (units), total, budget."""
     sub = d.explode(f"select doc_id, {d.find_all("coalesce(text, '')", r'(\S+)')} as ws from {d.t('documents')}", "ws")
     return f"""(select x.*, {d.half_even(f"{RATIO} * total")} as budget from (select doc_id, pos - 1 as pos, val, {COST} as cost, count(*) over (partition by doc_id) as n, sum({COST}) over (partition by doc_id) as total from {sub} u) x)"""
 
 
-def budget_and_adherence(d):
-    return f"""
-    with u as (select doc_id, max(budget) as budget, max(total) as total from {_units(d)} a group by doc_id),
-    lead_kept as (select doc_id, sum(cost) as used from (select doc_id, cost, budget, sum(cost) over (partition by doc_id order by pos rows unbounded preceding) as run from {_units(d)} b) r where run <= budget group by doc_id)
-    select u.doc_id, cast(u.total as bigint) as n_tokens, u.budget, cast(coalesce(k.used, 0) as bigint) as used,
-      case when u.budget > 0 then round(coalesce(k.used, 0) * 1e0 / u.budget, 6) end as tokens_per_budget,
-      coalesce(abs(case when u.budget > 0 then coalesce(k.used, 0) * 1e0 / u.budget end - 1) > 5e-2 + 1e-12, false) as deviates
-    from u left join lead_kept k on k.doc_id = u.doc_id"""
-
-
 def compress_none_nocontext(d):
     return f"""select doc_id, m.method, case when m.method = 'none' then md5(coalesce(text, '')) else md5('') end as text_md5
     from {d.t("documents")} cross join (select 'none' as method union all select 'no_context' as method) m"""
 
 
-def _prefix(d: SparkSQL, order: str) -> str:
-    return f"""select doc_id, count(*) filter (where run <= budget) as n_kept, cast(coalesce(sum(cost) filter (where run <= budget), 0) as bigint) as used, cast(coalesce(sum(pos) filter (where run <= budget), 0) as bigint) as positions
-    from (select doc_id, pos, cost, budget, sum(cost) over (partition by doc_id order by {order} rows unbounded preceding) as run from {_units(d)} u) r group by doc_id"""
-
-
-def compress_lead(d):
-    return _prefix(d, "pos")
-
-
-def compress_truncation(d):
-    return _prefix(d, "least(pos, n - 1 - pos), pos")
-
-
 def tfidf_sentence_scores(d):
     sent = d.replace("coalesce(text, '')", r"([.!?])\s+", "#1\x01")
     s = d.explode(f"select doc_id, {d.split(sent, chr(1))} as ss from {d.t('documents')}", "ss", "sent", "body")
@@ -152,26 +114,11 @@ def tfidf_sentence_scores(d):
     group by tf.doc_id, tf.sent"""
 
 
-def negation_probe(d):
-    """Words of the negation list, unless a question ends right after."""
-    return f"""
-    with w as (select doc_id, pos, lower(val) as val, lead(val) over (partition by doc_id order by pos) as nxt from {d.explode(_tokens(d, "documents", "doc_id"), "toks")} x),
-    f as (select doc_id, val in {NEGATION} and coalesce(nxt, '') <> '?' as neg from w)
-    select doc_id, count(*) as n_words, count(*) filter (where neg) as n_negated, coalesce(max(case when neg then 1 else 0 end), 0) = 1 as has_negation from f group by doc_id"""
-
-
 def protection_tiers(d):
     tier = f"case when {d.like('val', r'^\p{P}*$')} then 'none' when {d.like('val', r'\p{Nd}')} then 'T1' when val in {NEGATION} then 'T1' when val in {STOP} then 'none' when length(val) >= 9 then 'T2' else 'T3' end"
     return f"select tier, count(*) as n, count(distinct doc_id) as n_docs from (select doc_id, {tier} as tier from {d.explode(_tokens(d, 'documents', 'doc_id'), 'toks')} x) y group by tier"
 
 
-def lexprior_fit(d):
-    return f"""
-    with w as (select x.val as word, l.quality as y from {d.explode(_tokens(d, "documents", "doc_id"), "toks")} x join {d.t("labels")} l on l.doc_id = x.doc_id where {d.like("x.val", r"^\p{L}+$")}),
-    g as (select avg(y * 1e0) as base from w)
-    select word, count(*) as seen, cast(sum(y) as bigint) as kept, round((sum(y) + max(g.base)) / (count(*) + 1), 6) as rate from w cross join g group by word having count(*) >= 5"""
-
-
 def detector_prf(d):
     return f"""
     with p as (select l.doc_id, l.quality = 0 as gold, {d.like("d.text", r"[#*$%&|<>]{3}")} or {d.size(d.find_all("d.text", r"(\S+)"))} < 20 as pred from {d.t("labels")} l join {d.t("documents")} d on d.doc_id = l.doc_id),
@@ -255,4 +202,4 @@ def full_match_check(d):
     from {d.t("documents")} a full outer join {d.t("labels")} b on b.doc_id = a.doc_id"""
 
 
-PLANS = {f.__name__: f for f in (leak_flags_with_precedence, eval_coverage, unique_text_fanout, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, poem_like_filter, token_and_punct_profile, budget_and_adherence, compress_none_nocontext, compress_lead, compress_truncation, tfidf_sentence_scores, negation_probe, protection_tiers, lexprior_fit, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}
+PLANS = {f.__name__: f for f in (leak_flags_with_precedence, eval_coverage, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, poem_like_filter, compress_none_nocontext, tfidf_sentence_scores, protection_tiers, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}
