@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 PATH_SLOTS, WORD_SLOTS, MEASURES, HIDDEN = 256, 64, 4, 12
 #: Blocks of one batch of pages (padded), so that a batch's memory is bounded but for one page's own.
 BATCH_BLOCKS = 20_000
+#: Blocks of a page that are read at once.
+READ_BLOCKS = 4096
 
 _RAW = "script|style|template|noscript|svg|iframe|textarea|select"
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<![^>]*>""", re.S | re.I)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:"[^"]*"|'[^']*'|[^'"<>])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:"[^"]*"|'[^']*'|[^'"<>])*)>|<![^>]*>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,10 +39,52 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_OWN = frozenset("p li dt dd tr td th option".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(names on the path, text, share of link characters) of every block with text, in page order."""
+_HOLDERS = frozenset("ul ol dl table div article section aside".split())
+
+
+class _Open:
+    """The open tags, and the path slots that any of them sets, as bits of a number: of one size at any depth."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, list[int]]] = []
+        self.of_tag: Counter = Counter()
+        self._held = [0] * PATH_SLOTS
+        self.slots = 0
+
+    def push(self, tag: str, names: list[str]) -> None:
+        own = [crc32(n.encode()) % PATH_SLOTS for n in names]
+        for k in own:
+            self._held[k] += 1
+            self.slots |= 1 << k
+        self.tags.append((tag, own))
+        self.of_tag[tag] += 1
+
+    def pop(self) -> str:
+        tag, own = self.tags.pop()
+        for k in own:
+            self._held[k] -= 1
+            if not self._held[k]:
+                self.slots &= ~(1 << k)
+        self.of_tag[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """A closing tag; without an open one it is nothing."""
+        while self.of_tag[tag] and self.pop() != tag:
+            pass
+
+    def close_own(self, tag: str) -> None:
+        """An opening tag ends the one of its kind before it, unless one that holds others lies between."""
+        if self.of_tag[tag]:
+            nearest = next(t for t, _ in reversed(self.tags) if t == tag or t in _HOLDERS)
+            if nearest == tag:
+                self.close(tag)
+
+
+def blocks(page: str) -> list[tuple[int, str, float]]:
+    """(slots of the names on the path, text, share of link characters) of every block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -47,7 +92,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal text, linked
         own = " ".join(html_lib.unescape("".join(text)).split()) if text else ""
         if own:
-            out.append((tuple(n for _, names in stack for n in names), own, min(1.0, linked / len(own))))
+            out.append((stack.slots, own, min(1.0, linked / len(own))))
         text, linked = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -69,18 +114,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if tag in _VOID:
             continue
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            stack.close(tag)
             continue
-        if tag in _CLOSES_OWN and any(t == tag for t, _ in stack):
-            nearest = max(i for i, (t, _) in enumerate(stack) if t == tag)
-            if not any(t in ("ul", "ol", "dl", "table", "div", "article", "section", "aside") for t, _ in stack[nearest + 1 :]):
-                del stack[nearest:]
+        if tag in _CLOSES_OWN:
+            stack.close_own(tag)
         names = [tag]
         for a in _ATTRIBUTE.finditer(m[4]):
             names += [f"{a[1].lower()}:{w.lower()}" for w in re.split(r"[\s_-]+", a[2] or a[3] or a[4] or "") if w]
-        stack.append((tag, tuple(names)))
+        stack.push(tag, names)
     text.append(page[at:])
     close()
     return out
@@ -90,8 +131,7 @@ def vectors(found: list) -> np.ndarray:
     """Rows of a page's blocks as the labeller reads them."""
     x = np.zeros((len(found), PATH_SLOTS + WORD_SLOTS + MEASURES), np.float32)
     for row, (path, text, links) in zip(x, found, strict=True):
-        for name in path:
-            row[crc32(name.encode()) % PATH_SLOTS] = 1
+        row[:PATH_SLOTS] = np.unpackbits(np.frombuffer(path.to_bytes(PATH_SLOTS // 8, "little"), np.uint8), bitorder="little")
         words = text.split(" ")
         slots = np.bincount([crc32(w.encode()) % WORD_SLOTS for w in words], minlength=WORD_SLOTS)
         row[PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = slots / len(words)
@@ -130,6 +170,15 @@ class BlockLabeller:
             out[:, k] = s
         return out
 
+    def scores(self, pages: list[list]) -> list[np.ndarray]:
+        """A logit a block of each page. Blocks are read and taken to the gates' inputs some thousand at a time, so a page of
+        many costs those inputs alone."""
+        w, b = (np.concatenate([self.p[k + side] for side in "fb"], axis=-1) for k in "wb")
+        z, mask = padded([np.concatenate([vectors(found[i : i + READ_BLOCKS]) @ w + b for i in range(0, len(found), READ_BLOCKS)]) for found in pages])
+        hs = [self._run(z[:, :, k * 4 * self.h : (k + 1) * 4 * self.h], mask, side) for k, side in enumerate("fb")]
+        out = self.p["c"] + hs[0] @ self.p["v"][: self.h] + hs[1] @ self.p["v"][self.h :]
+        return [row[: len(found)] for row, found in zip(out, pages, strict=True)]
+
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         out = self.p["c"]
         for n, side in enumerate("fb"):
@@ -294,9 +343,8 @@ def main_texts(model: BlockLabeller, pages: list[str | None]) -> list[str]:
             j += 1
         own = [k for k in order[i:j] if cut[k]]
         if own:
-            score = model.logits(*padded([vectors(cut[k]) for k in own]))
-            for k, row in zip(own, score, strict=True):
-                out[k] = " ".join(b[1] for b, s in zip(cut[k], row, strict=False) if s > 0)
+            for k, row in zip(own, model.scores([cut[k] for k in own]), strict=True):
+                out[k] = " ".join(b[1] for b, s in zip(cut[k], row, strict=True) if s > 0)
         i = j
     return out
 

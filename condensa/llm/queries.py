@@ -88,8 +88,10 @@ ORACLE_SQL: dict[str, str] = {
       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
       cast(sum(24 + length(role) + length(role) - length(replace(role, chr(10), '')) + {_EXTRA("role")} + length(text) + {_EXTRA("text")}) as bigint) as formatted_chars
     from c group by conv_id""",
-    # the tables at hand mark the main text with <article> and know one reference
+    # the tables at hand mark the main text with <article>; references are decoded in one pass, as these do not overlap
     "op9_html_extraction": """
-    with a as (select page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) as text from pages)
-    select page_id, url, text, cast(length(text) as bigint) as n_chars from a""",
+    with a as (select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g') as text from pages),
+    d as (select page_id, url, replace(replace(replace(replace(text, '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>') as text from a),
+    t as (select page_id, url, trim(regexp_replace(regexp_replace(text, '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) as text from d)
+    select page_id, url, text, cast(length(text) as bigint) as n_chars from t""",
 }
