@@ -111,7 +111,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
         begins = hits.withColumn("m", F.col("len") - (k - 1)).withColumn("least", F.ceil(F.lit(similarity) * F.col("m") - 1e-9).cast("int"))
         begins = begins.select("th", "len", F.explode_outer(F.expr(_STARTS.format(gap=f"{2 - similarity} * m + 1e-9"))).alias("at")).filter("at is not null")
         per_text = materialise(begins.groupBy("th").agg(F.collect_list(F.struct("at", "len")).alias("spots")), "spots")
-        few = F.broadcast(per_text) if per_text.count() <= BROADCAST_ROWS // 10 else per_text
+        # a text costs its key and 8 bytes a spot
+        many = per_text.agg(F.sum(F.size("spots") + F.lit(4))).first()[0] or 0
+        few = F.broadcast(per_text) if many <= BROADCAST_ROWS else per_text
         held = named.join(few, "th").select("doc_id", "th", "spots", words_of("text").alias("w")).select("doc_id", "th", "spots", shingles_of("w", k).alias("dh"))
         begin = lambda s: F.greatest(F.lit(0), s["at"])
         end = lambda s: F.least(s["at"] + s["len"] - (k - 1), F.size("dh"))

@@ -29,7 +29,7 @@ LEAST, BASE_LEAST = 4, 8
 #: words and as a share of the text. A repeat is too long if it passes both of its limits.
 MOST_COVERED, LONGEST_WORDS, LONGEST_SHARE = 0.3, 50, 0.1
 #: Texts beyond this many bytes start a new array.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "n_covered_words"]
 _SYMBOL, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -128,8 +128,9 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
         some = pc.fill_null(some.cast(pa.large_string()), "")
         sizes = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
+        spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
         raw = np.frombuffer("".join(some.to_pylist()).encode(), np.uint8)
-        total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.concatenate([[0], ends])])
+        total = lambda mask: np.fromiter((np.count_nonzero(mask[a:b]) for a, b in spans), np.int64, len(spans))
         pieces = pc.ascii_split_whitespace(some)
         words = pieces.flatten()
         owner = np.repeat(np.arange(len(some)), np.diff(pieces.offsets.to_numpy()))
@@ -176,8 +177,8 @@ def keep_quality(docs: DataFrame, **limits) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
                 yield some.filter(pa.array(verdict(features(some.column(at)), **limits)[1]))
             release()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,10 +16,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The folder in spark.checkpoint.dir; where it is unset and all executors are threads of this process (tests), a
+    folder of it. Elsewhere an unset folder is an error: no executor could read what another one wrote."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="condensa-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

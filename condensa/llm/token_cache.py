@@ -35,7 +35,7 @@ _TOGETHER = 128
 #: Distinct parts that a worker remembers; beyond it, it goes on with those that it met again.
 MOST_PARTS = 300_000
 #: UTF-8 bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class PartTable:
@@ -163,15 +163,17 @@ class CachedEncoder:
         self.dtype = np.dtype("<u2" if small else "<u4")
         if self.spaced:  # a token of the byte vocabulary has a letter a byte
             vocab = self._lib.get_vocab()
-            self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self._bytes = np.zeros(max(vocab.values()) + 1, np.int16)
             self._bytes[list(vocab.values())] = list(map(len, vocab))
         else:
             self._between = np.array(self._lib.encode(_BETWEEN, add_special_tokens=False).ids)
         self._table = PartTable(self._library, self.dtype, most)
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        some = [np.array(e.ids, np.int64) for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.empty(0, np.int64), *some])
+        some = [np.empty(0, self.dtype)]  # the library's own results are many times as large: few at once
+        for i in range(0, len(texts), 32):
+            some += [np.array(e.ids, self.dtype) for e in self._lib.encode_batch_fast(texts[i : i + 32], add_special_tokens=False)]
+        return np.concatenate(some)
 
     def _library(self, parts: list[str]):
         """Ids of many parts by few calls of the library. Plain parts (no white space within, no special
@@ -194,7 +196,7 @@ class CachedEncoder:
             joined = [p if p[0] == " " else "\n" + p for p in parts]
             ids = self._ids(["".join(joined[i : i + _TOGETHER]) for i in range(0, len(joined), _TOGETHER)])
             size = pc.binary_length(pa.array(joined, pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(size)) + 1
+            ends = np.searchsorted(np.cumsum(self._bytes[ids], dtype=np.int64), np.cumsum(size)) + 1
             lens = np.diff(ends, prepend=0)
             return np.delete(ids, (ends - lens)[bare]), lens - bare
         ids = self._ids([_BETWEEN.join(["", *parts[i : i + _TOGETHER]]) for i in range(0, len(parts), _TOGETHER)])
