@@ -1,10 +1,12 @@
 """That the operators do the whole of their job."""
 
+import re
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from condensa.llm import chat, decontamination, secret_scan
+from condensa.llm import chat, decontamination, queries, secret_scan
 
 from .test_rest import leaks_by_hand
 
@@ -66,3 +68,38 @@ def test_clean_by_row(spark):
     assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [2, 4, 5]
     assert decontamination.keep_clean(docs, bench.filter("item_id = 8")).count() == 7
     assert decontamination.keep_clean(docs.limit(0), bench).count() == 0
+
+
+def by_tree(forest, f):
+    """Mean of the trees, walked."""
+
+    def leaf(node):
+        while not isinstance(node, float):
+            node = node[2] if f[node[0]] <= node[1] else node[3]
+        return node
+
+    return sum(map(leaf, forest)) / len(forest)
+
+
+def test_secret_forest_by_hand(spark, sf):
+    """Every candidate of the documents: the score is that of the trees walked in Python, and planted secrets are found."""
+    docs, forest = queries.table(spark, sf.replace("sf0.001", "sf0.01"), "documents"), secret_scan.train(spark)  # the smallest has none
+    rows = secret_scan.with_candidates(docs).select("doc_id", F.posexplode_outer("_c").alias("place", "c")).filter("c is not null")
+    want = {(r.doc_id, r.place): (r.s, by_tree(forest, r.f)) for r in rows.select("doc_id", "place", F.col("c.secret").alias("s"), secret_scan.features(F.col("c")).alias("f")).collect()}
+    got = {(r.doc_id, r.place): r for r in secret_scan.findings(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k].score - want[k][1]) < 1e-6 and got[k].length == len(want[k][0]) for k in got)
+    planted = {(r.doc_id, s) for r in docs.collect() for s in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    found = {(k[0], want[k][0]) for k, r in got.items() if r.is_secret}
+    assert planted and len(planted & found) >= 0.98 * len(planted) and len(found - planted) <= 0.05 * len(found) + 1
+
+
+def test_secret_edges(spark):
+    """Nulls, empty texts, repeated rows, an empty table, long texts and columns of any name."""
+    key = "token = " + "0123456789abcdef" * 2 + "01234567"
+    rows = [(1, key, "x"), (1, key, "x"), (None, key, None), (2, None, "x"), (3, "", "x"), (4, "word " * 200_000 + key, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    got = secret_scan.findings(docs).filter("is_secret").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 1), (False, 4), (True, 0)]
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.count() == 6 and out.filter("text like '%0123456789abcdef%'").count() == 0
+    assert secret_scan.findings(docs.limit(0)).count() == 0 and secret_scan.redact(docs.limit(0)).count() == 0
