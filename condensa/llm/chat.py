@@ -31,13 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import blocks_of, materialise
 from .token_cache import encoder
 
 #: What templates in use take as control strings.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _NAME = 16  # bytes of a node's name
+#: Characters of conversations in a range of paths, which one task lays out as they stream through it; small tables have as many ranges
+#: as the session has use for, of LEAST_RANGE characters or more.
+RANGE_CHARS, LEAST_RANGE = 128 << 20, 1 << 19
 
 
 def escape(text: str) -> str:
@@ -70,21 +73,22 @@ _ONE = object()  # equal to no conversation
 
 
 def _paths(batches):
-    """(conv_id, path) of turns (conv_id, role, text) in order."""
-    types, names = (pa.int64(), pa.binary()), ["conv_id", "path"]
-    conv, path, done = _ONE, bytearray(), []
+    """(conv_id, path, size in characters) of turns (conv_id, role, text) in order."""
+    types, names = (pa.int64(), pa.binary(), pa.int64()), ["conv_id", "path", "size"]
+    conv, path, size, done = _ONE, bytearray(), 0, []
     for batch in batches:
         for c, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if c != conv or conv is _ONE:
                 if conv is not _ONE:
-                    done.append((conv, bytes(path)))
-                conv, path = c, bytearray()
+                    done.append((conv, bytes(path), size))
+                conv, path, size = c, bytearray(), 0
             path += _name(bytes(path[-_NAME:]), role or "", text or "")
+            size += len(text or "")
         if done:
             yield _batch(done, types, names)
             done = []
     if conv is not _ONE:
-        yield _batch([(conv, bytes(path))], types, names)
+        yield _batch([(conv, bytes(path), size)], types, names)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -202,8 +206,11 @@ def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Dat
     spark = conversations.sparkSession
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    leaves = materialise(ordered.mapInArrow(_paths, "conv_id long, path binary"), "paths")
-    sorted_ = leaves.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    paths = materialise(ordered.mapInArrow(_paths, "conv_id long, path binary, size long"), "paths")
+    leaves = paths.select("conv_id", "path")
+    total = paths.agg(F.sum("size")).first()[0] or 0
+    ranges = blocks_of(total, RANGE_CHARS, least=min(2 * spark.sparkContext.defaultParallelism, 1 + total // LEAST_RANGE))
+    sorted_ = leaves.repartitionByRange(ranges, "path", "conv_id").sortWithinPartitions("path", "conv_id")
     order = materialise(sorted_.mapInArrow(_ordered_paths, _ORDER), "order")
     edges = sorted((r.part, r.nth, bytes(r.edge)) for r in order.filter("edge is not null").select("part", "nth", "edge").collect())  # two rows a range
     shared, last = [], b""
@@ -216,7 +223,7 @@ def build_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Dat
     keyed = rows.select(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("key"), "turn", "role", "text").repartition("none", "key")
     joined = keyed.join(turns_of, ["none", "key"]).sortWithinPartitions("none", "key", "turn", "role", "text").select("none", "key", "part", "nth", "n_shared", "role", "text")
     own = joined.mapInArrow(_own_turns, "part int, nth long, depth int, node binary, role string, text string")
-    laid = materialise(own.repartition("part").sortWithinPartitions("part", "nth", "depth").mapInArrow(_laid_out(tokenizer), _LAID), "laid-out")
+    laid = materialise(own.repartitionById(1 + max((p for p, _ in shared), default=0), F.col("part")).sortWithinPartitions("part", "nth", "depth").mapInArrow(_laid_out(tokenizer), _LAID), "laid-out")
     base, stack, outer = 0, [], []
     for r in sorted(laid.filter("node is null").select("part", "n_tokens", "loss_begin", "n_outer", "inner").collect()):  # a row a range
         outer.append((r.part, base, stack[: r.loss_begin]))
