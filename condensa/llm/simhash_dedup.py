@@ -7,7 +7,7 @@ verified on the whole fingerprint, and links go through connected components. Eq
 never meet: they are one row before the join.
 
 Within a signature all links are followed breadth-first from one member to those not yet reached,
-which emits a spanning forest instead of all pairs and takes a dense group of m members about m steps.
+which emits a spanning forest instead of all pairs; large groups are cut by their differing bits first.
 
 Nulls: a null text has no words and the fingerprint zero; a null doc_id is kept and counts for no
 minimum. Repeated rows and exact copies share a fingerprint and so a class. An empty table gives none.
@@ -25,6 +25,8 @@ from .shared import materialise, release
 
 RADIUS = 3
 SHINGLE = 3
+#: Fingerprints of one signature that are compared without cutting them further.
+DENSE = 2048
 #: Above this many rows to drop, the anti join is not broadcast (16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
@@ -65,9 +67,29 @@ def _differing(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that connect whatever links within the radius connect among these distinct fingerprints."""
-    rest, out = fps, []
+def spanning_links(fps: np.ndarray, radius: int = RADIUS, dense: int = DENSE) -> list[tuple[int, int]]:
+    """Links that connect whatever links within the radius connect among these distinct fingerprints.
+
+    Up to `dense` of them, links are followed breadth-first. More are cut by the bits in which they differ at all: into radius + 1 sets,
+    in one of which any two within the radius agree, so each set's groups of equal bits are linked by themselves, with
+    fewer differing bits each time."""
+    if len(fps) < 2:
+        return []
+    bits = fps.view(np.uint64)
+    varying = int(np.bitwise_or.reduce(bits ^ bits[0]))
+    if varying.bit_count() <= radius:
+        return [(int(fps[0]), int(y)) for y in fps[1:]]
+    out: list[tuple[int, int]] = []
+    if len(fps) > dense:
+        places = [b for b in range(64) if varying >> b & 1]
+        for k in range(radius + 1):
+            key = bits & np.uint64(sum(1 << b for b in places[k :: radius + 1]))
+            order = np.argsort(key, kind="stable")
+            own = key[order]
+            for some in np.split(fps[order], np.flatnonzero(own[1:] != own[:-1]) + 1):
+                out += spanning_links(some, radius, dense)
+        return out
+    rest = fps
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):

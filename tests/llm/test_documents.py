@@ -157,6 +157,34 @@ def test_dense_links(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({got.get(f, f) for f in fps})
 
 
+def test_cut_groups():
+    """Groups that are cut have the same components as those that are not, whatever their bits."""
+    rng = np.random.default_rng(9)
+    for n_bits, n in ((9, 200), (14, 900), (33, 700), (64, 300)):
+        base = int(rng.integers(-(2**62), 2**62))
+        places = rng.choice(64, n_bits, replace=False)
+        fps = np.unique(np.array([base] + [base ^ sum(int(x) << int(b) for x, b in zip(rng.integers(0, 2, n_bits), places, strict=True)) % 2**63 for _ in range(n)], np.int64))
+
+        def parts(links):
+            root = {int(f): int(f) for f in fps}
+
+            def find(f):
+                while root[f] != f:
+                    root[f] = root[root[f]]
+                    f = root[f]
+                return f
+
+            for a, b in links:
+                assert a in root and b in root
+                root[find(a)] = find(b)
+            groups: dict = {}
+            for f in root:
+                groups.setdefault(find(f), set()).add(f)
+            return sorted(map(sorted, groups.values()))
+
+        assert parts(simhash_dedup.spanning_links(fps, 3, dense=20)) == parts(simhash_dedup.spanning_links(fps, 3, dense=10**6))
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(links).collect()}
