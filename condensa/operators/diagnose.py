@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -160,3 +160,25 @@ def recovery(docs: DataFrame, predictor: Callable[[list[str | None]], list[str]]
 def finite_mean(x: Column) -> Column:
     """Mean of what is neither null nor NaN; null if nothing is."""
     return F.avg(F.when(~F.isnan(x), x))
+
+
+def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """by, n, spearman of two columns, mean ranks for ties; null where one of them is constant. Rows are counted by value first, so ranks
+    go over distinct values and no group's rows are in one task."""
+    h = df.dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
+
+    def ranks(v: str, name: str) -> DataFrame:
+        own = h.groupBy(*by, v).agg(F.sum("_c").alias("_k"))
+        return own.select(*by, v, (F.sum("_k").over(Window.partitionBy(*by).orderBy(v)) - F.col("_k") / 2 + 0.5).alias(name))
+
+    own = h.join(ranks(x, "_x"), [*by, x]).join(ranks(y, "_y"), [*by, y])
+    mean = lambda e: F.expr(f"sum(_c * {e}) / sum(_c)")
+    var = lambda c: mean(f"{c} * {c}") - mean(c) * mean(c)
+    both = mean("_x * _y") - mean("_x") * mean("_y")
+    return own.groupBy(*by).agg(F.sum("_c").alias("n"), F.when((var("_x") > 0) & (var("_y") > 0), both / F.sqrt(var("_x") * var("_y"))).alias("spearman"))
+
+
+def cost_profile(vocabulary: DataFrame, by: list[str], cost: str, syllables: str) -> DataFrame:
+    """by, n, fertility (tokens a syllable), cv (population deviation over the mean of costs), spearman of cost and syllables."""
+    own = vocabulary.groupBy(*by).agg((F.sum(cost) / F.nullif(F.sum(syllables), F.lit(0))).alias("fertility"), (F.stddev_pop(cost) / F.avg(cost)).alias("cv"))
+    return own.join(rank_correlation(vocabulary, by, cost, syllables), by)

@@ -148,6 +148,14 @@ _BROKEN = f"""with {_MASKED}, w as (select doc_id, lang, w, count(*) as n, count
     from t join c on c.lang = t.lang join r on r.lang = t.lang group by t.lang, kind"""
 
 
+def token_cost_profile(spark, sf_dir):
+    """What the distinct words of each language cost, and how that goes with their syllables. Its SQL is in stat_plans."""
+    words = read_table(spark, sf_dir, "documents").select("lang", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), F.lit(1))).alias("w")).filter("w is not null").distinct()
+    own = words.select("lang", F.greatest(F.lit(1), F.ceil(F.length("w") / 4).cast("long")).alias("cost"), F.size(F.regexp_extract_all(F.lower("w"), F.lit("([aeiouáéíóúàèêëïüöä]+)"), F.lit(1))).cast("long").alias("syllables"))
+    got = diagnose.cost_profile(own, ["lang"], "cost", "syllables")
+    return got.select("lang", "n", F.round("fertility", 6).alias("fertility"), F.round("cv", 6).alias("cv"), F.round("spearman", 5).alias("spearman"))
+
+
 def mask_comparison(spark, sf_dir):
     own = _masked(spark, sf_dir)
     count = lambda m: F.transform(F.arrays_zip(diagnose.kept_syllables(diagnose.sizes("words"), F.col(m)).alias("k"), diagnose.sizes("words").alias("n")), lambda x: F.when((x["n"] > 1) & (x["k"] > 0), x["k"] == x["n"]))
@@ -222,5 +230,17 @@ _GUARDS = f"""with {_R}, shown as (select doc_id, lang from (select doc_id, lang
     union all select 'blind sheet', count(*) from (select row_number() over (partition by source, doc_id % 3 = 0 order by md5('0:' || doc_id), doc_id) as k from documents) q where k <= 5
     union all select 'verified again', count(*) filter (where lower(text) is not distinct from lower(replace(text, 'zz', 'z'))) from sm"""
 
-QUERIES = {f.__name__: f for f in (budget_adherence_cells, paired_budget_gaps, best_of_classes, one_row_gates, precheck, detector_by_tier, broken_words, mask_comparison, recovered_words, guards)}
-ORACLE_SQL = {"budget_adherence_cells": _ADHERENCE, "paired_budget_gaps": _GAPS, "best_of_classes": _BEST, "one_row_gates": _ONE, "precheck": _PRECHECK, "detector_by_tier": _TIER, "broken_words": _BROKEN, "mask_comparison": _COMPARE, "recovered_words": _RECOVERED, "guards": _GUARDS}
+#: What has to be there, known beforehand: a source that is wholly missing shows.
+REQUIRED = [(s, x) for s in ("src0", "src1", "src2", "books") for x in ("en", "de", "it")]
+
+
+def eval_coverage(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").select("source", F.col("lang").alias("split"), F.col("text").alias("context"))
+    return gates.required_coverage(rows, REQUIRED)
+
+
+_COVERAGE = f"""select q.s as source, q.l as split, count(d.doc_id) as n_rows, count(*) filter (where d.doc_id is not null and coalesce(d.text, '') = '') as n_blank, count(d.doc_id) = 0 as missing
+    from (values {", ".join(f"('{s}', '{x}')" for s, x in REQUIRED)}) q(s, l) left join documents d on d.source = q.s and d.lang = q.l group by q.s, q.l"""
+
+QUERIES = {f.__name__: f for f in (eval_coverage, token_cost_profile, budget_adherence_cells, paired_budget_gaps, best_of_classes, one_row_gates, precheck, detector_by_tier, broken_words, mask_comparison, recovered_words, guards)}
+ORACLE_SQL = {"eval_coverage": _COVERAGE, "budget_adherence_cells": _ADHERENCE, "paired_budget_gaps": _GAPS, "best_of_classes": _BEST, "one_row_gates": _ONE, "precheck": _PRECHECK, "detector_by_tier": _TIER, "broken_words": _BROKEN, "mask_comparison": _COMPARE, "recovered_words": _RECOVERED, "guards": _GUARDS}

@@ -36,14 +36,6 @@ def leak_flags_with_precedence(d):
     select source, reason, count(*) as n from flagged group by source, reason"""
 
 
-def eval_coverage(d):
-    return f"""
-    with have as (select source, lang, count(*) as n, sum(case when coalesce(text, '') = '' then 1 else 0 end) as blank from {d.t("documents")} group by source, lang),
-    need as (select s.source, l.lang from (select distinct source from have) s cross join (select distinct lang from have) l)
-    select n.source, n.lang, coalesce(h.n, 0) as n_rows, cast(coalesce(h.blank, 0) as bigint) as n_blank, h.n is null as missing
-    from need n left join have h on h.source = n.source and h.lang = n.lang"""
-
-
 def stratified_md5_sample(d):
     return f"""
     select lang, doc_id, quality from (
@@ -202,4 +194,4 @@ def full_match_check(d):
     from {d.t("documents")} a full outer join {d.t("labels")} b on b.doc_id = a.doc_id"""
 
 
-PLANS = {f.__name__: f for f in (leak_flags_with_precedence, eval_coverage, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, poem_like_filter, compress_none_nocontext, tfidf_sentence_scores, protection_tiers, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}
+PLANS = {f.__name__: f for f in (leak_flags_with_precedence, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, poem_like_filter, compress_none_nocontext, tfidf_sentence_scores, protection_tiers, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}

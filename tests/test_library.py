@@ -158,3 +158,61 @@ def test_guards(spark):
     review = spark.createDataFrame([(0.3, "a", 0.2, 0.5, 1, 3), (0.3, "", 0.0, 0.95, 0, 0)], "ratio double, compressed string, unmatched_ratio double, keep_rate double, n_partial int, n_full int")
     r = gates.teacher_review(review, ["ratio"]).first()
     assert (r.n, r.n_empty, r.rewritten, r.not_compressed, r.cbr) == (2, 1, 0.5, 0.5, 0.25) and math.isclose(r.keep_sd, 0.225)
+
+
+def test_models(spark, tmp_path):
+    """Windows by hand, calls that fail, rates, encoders and reports."""
+    import numpy as np
+
+    from condensa.operators import models, selection
+    from condensa.sources import reports
+
+    pieces = [1, 2, 1, 3, 1, 1, 2, 1]
+    seen = []
+
+    def score(a, b):
+        seen.append((a, b))
+        return [(0.0, float(a * 10 + k)) for k in range(sum(pieces[a:b]))]
+
+    got = models.syllable_logits([3, 2, 3], pieces, score, most=8, longest=2)
+    segments = [(0, 2), (2, 3), (3, 5), (5, 7), (7, 8)]  # sentences cut at two syllables
+    want_windows = [(segments[a][0], segments[b - 1][1]) for a, b in selection.windows([sum(pieces[a:b]) for a, b in segments], 8)]
+    assert seen == want_windows
+    sums = [[] for _ in pieces]
+    for a, b in want_windows:
+        k = 0
+        for i in range(a, b):
+            sums[i].append(np.mean([a * 10 + k + j for j in range(pieces[i])]))
+            k += pieces[i]
+    assert got.tolist() == pytest.approx([np.mean(s) for s in sums])
+    assert models.syllable_logits([1], [4], lambda a, b: [1.0, 3.0], most=2).tolist() == [2.0]  # cut to what fits
+    assert models.word_logits(np.array([1.0, 3.0, 5.0]), [2, 1, 0]).tolist() == [2.0, 5.0, 0.0]
+
+    calls = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "bad"), (4, None)], "id long, text string")
+
+    def call(text, rate):
+        if text == "bad":
+            raise RuntimeError("no")
+        return f"{text} {rate}"
+
+    first = models.ask_teacher(calls, None, call, [0.3])
+    assert sorted((r.id, r.compressed, r.error) for r in first.collect()) == [(1, "a b 0.3", None), (2, "a b 0.3", None), (3, None, "RuntimeError: no")]
+    again = models.ask_teacher(calls, first.filter("compressed is not null"), call, [0.3])
+    assert [r.id for r in again.collect()] == [3]
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "doc_id long, text string")
+    made = models.compress_by_rate(docs, lambda t, r: " ".join(t.split()[: round(r * len(t.split()))]), 0.5).collect()
+    assert [(r.used <= r.budget, r.text) for r in made] == [(True, "one two three"), (True, "")]
+    words_ = models.segment(docs).orderBy("doc_id").collect()
+    assert [w.text for w in words_[0].words][:2] == ["one", "two"] and words_[1].words is None
+    pairs = spark.createDataFrame([(1, "a b", "b a c"), (2, None, "x")], "k long, pred string, gold string")
+    assert sorted((r.k, round(r.f1, 6)) for r in models.similarity_f1(pairs, ["k"]).collect()) == [(1, 0.8), (2, 0.0)]
+    assert models.joined_words is not None and words(spark, ["a b", "c"]).select(models.joined_words("words").alias("j")).first().j == "a_b c"
+
+    table = spark.createDataFrame([("b", 0.5, None), ("a", 0.25, 3)], "m string, s double, n int")
+    assert reports.markdown(table, ["m"], 2) == "| m | s | n |\n| --- | --- | --- |\n| a | 0.25 | 3 |\n| b | 0.50 | n/a |\n"
+    with pytest.raises(ValueError):
+        reports.markdown(table, ["m"], most=1)
+    reports.write_report(table, str(tmp_path / "r"), ["m"])
+    assert [r.m for r in spark.read.json(str(tmp_path / "r")).collect()] == ["a", "b"]
+    ties = spark.createDataFrame([("g", "x", 1.0), ("g", "y", 1.0), ("h", "z", None)], "g string, m string, s double")
+    assert [tuple(r) for r in reports.best_per_group(ties, ["g"], "s", "m").collect()] == [("g", "y", 1.0)]
