@@ -190,24 +190,29 @@ def parse_spec(spec: str) -> tuple[str, dict[str, str]]:
     return name, dict(x.split("=", 1) for x in rest.split(",")) if rest else {}
 
 
-def compress_units(units: list[str], spec: str, ratio: float, costs: list[int] | None = None, budget: int | None = None, scorer: Scorer | None = None, text: str | None = None) -> tuple[np.ndarray, list[int], int]:
-    """(mask, costs, budget) of one text. text: for methods that need its sentences, if units alone do not say them."""
+def _select(units: list[str], spec: str, ratio: float, costs: list[int] | None, budget: int | None, scorer: Scorer | None, text: str | None):
+    """(mask, costs, budget, scores or None, priority or None) of one text."""
     name, options = parse_spec(spec)
     costs = quarters(units) if costs is None else costs
     budget = budget_of(sum(costs), ratio) if budget is None else budget
     if not units:
-        return np.zeros(0, bool), costs, budget
+        return np.zeros(0, bool), costs, budget, None, None
     if name in WHOLE:
-        return WHOLE[name](units), costs, budget
+        return WHOLE[name](units), costs, budget, None, None
     if name in SENTENCES:
         own = sentences(" ".join(units) if text is None else text)
-        return select_sentences(list(map(len, own)), SENTENCES[name](units, own), costs, budget), costs, budget
+        return select_sentences(list(map(len, own)), SENTENCES[name](units, own), costs, budget), costs, budget, None, None
     if name in TABLES:
         raise ValueError(f"{name} reads a second text: use the function of that name")
     scores, priority, how = METHODS[name](units, scorer=scorer, **options)
-    if how.pop("exact", False):
-        return selection.knapsack(scores, costs, budget), costs, budget
-    return selection.greedy(scores, costs, budget, priority, **how), costs, budget
+    if how.pop("exact", False):  # priorities are for trimming alone then
+        return selection.knapsack(scores, costs, budget), costs, budget, scores, priority
+    return selection.greedy(scores, costs, budget, priority, **how), costs, budget, scores, priority
+
+
+def compress_units(units: list[str], spec: str, ratio: float, costs: list[int] | None = None, budget: int | None = None, scorer: Scorer | None = None, text: str | None = None) -> tuple[np.ndarray, list[int], int]:
+    """(mask, costs, budget) of one text. text: for methods that need its sentences, if units alone do not say them."""
+    return _select(units, spec, ratio, costs, budget, scorer, text)[:3]
 
 
 def selection_stats(kept: np.ndarray, costs: list[int], budget: int, guard: np.ndarray | None = None, trimmed: int = 0) -> dict:
@@ -237,11 +242,16 @@ def _row(d, spec: str, ratio: float, units: list[str], costs: list[int], budget:
     return (d, spec, ratio, budget, len(at), own["sum_unit_cost"], int(at.sum()), own["n_protected_kept"], own["n_protected"], selection.render([units[i] for i in at]))
 
 
-def compress(docs: DataFrame, spec: str, ratio: float, counter: Counter = quarters, scorer: Scorer | None = None) -> DataFrame:
+def compress(docs: DataFrame, spec: str, ratio: float, counter: Counter = quarters, scorer: Scorer | None = None, length: Counter | None = None) -> DataFrame:
     """doc_id, method, ratio, budget, n_kept, used, positions (sum of kept places), n_protected_kept, n_protected and compressed
-    of docs (doc_id, text). No shuffle."""
+    of docs (doc_id, text). length counts tokens of whole rendered texts, where units' costs do not add up to that: kept units of the lowest
+    (priority, score) then go until the text fits; of methods without scores the last ones. No shuffle."""
     parse_spec(spec)
 
+    def fitted(units, kept, budget, scores, priority):
+        size = lambda m: length([selection.render([u for u, k in zip(units, m, strict=True) if k])])[0]
+        return selection.trim(kept, -np.arange(len(units)) if scores is None else scores, budget, size, priority)
+
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -250,7 +260,8 @@ def compress(docs: DataFrame, spec: str, ratio: float, counter: Counter = quarte
                 costs, rows = _unit_costs(split, counter), []
                 for d, t, units in zip(batch.column(0).slice(i, 512).to_pylist(), texts, split, strict=True):
                     own = [costs[u] for u in units]
-                    kept, _, budget = compress_units(units, spec, ratio, own, scorer=scorer, text=t)
+                    kept, _, budget, scores, priority = _select(units, spec, ratio, own, None, scorer, t)
+                    kept = kept if length is None else fitted(units, kept, budget, scores, priority)
                     rows.append(_row(d, spec, ratio, units, own, budget, kept))
                 yield _batch(rows, _ARROW, _OUT)
 

@@ -293,3 +293,31 @@ def parse_family(spec: str, tasks: set[str]) -> tuple[str, dict]:
     if not set(own["tasks"]) <= tasks or own["test"] not in ("metric", "nfr"):
         raise ValueError(f"unknown task or test: {spec}")
     return name, own
+
+
+#: Above these a teacher's text is rewritten, or not compressed.
+MOST_UNMATCHED, MOST_KEPT = 0.10, 0.90
+
+
+def distillation_reason() -> Column:
+    """Why a label pair (known, segmented, compressed, unmatched_ratio, keep_rate) is left out, or "kept"; the first reason that holds."""
+    empty = F.coalesce("compressed", F.lit("")) == ""
+    return (
+        F.when(~F.col("known"), "not a paragraph").when(~F.col("segmented"), "no segmentation")
+        .when(empty | (F.col("unmatched_ratio") > MOST_UNMATCHED), "rewritten").when(F.col("keep_rate") > MOST_KEPT, "not compressed").otherwise("kept")
+    )
+
+
+def distillation_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, reason, n, and of the pairs with that reason the mean broken-word share a pair (cbr), the pooled one, and the mean keep rate."""
+    own = rows.withColumn("reason", distillation_reason()).withColumn("_cbr", F.expr("try_divide(n_partial, n_partial + n_full)"))
+    got = own.groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"), F.avg("_cbr").alias("cbr_mean"), F.sum("n_partial").alias("p"), F.sum("n_full").alias("f"), F.avg("keep_rate").alias("keep_mean"))
+    return got.withColumn("cbr_pooled", F.expr("try_divide(p, p + f)")).drop("p", "f")
+
+
+def stage_problems(config: dict, primary: str, margins: set[float], digests: dict[str, str]) -> list[str]:
+    """What keeps a test stage from starting: another reader than the primary one, a margin that was not registered, files that are missing or
+    changed. config: reader, margin, files (name to digest as committed); digests: those of the files now."""
+    out = [] if config.get("reader") == primary else [f"reader {config.get('reader')!r} is not the primary one"]
+    out += [] if config.get("margin") in margins else [f"margin {config.get('margin')!r} was not registered"]
+    return out + [f"{name} is {'missing' if name not in digests else 'not as committed'}" for name, d in sorted(config.get("files", {}).items()) if digests.get(name) != d]

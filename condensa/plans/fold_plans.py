@@ -30,7 +30,7 @@ SPECS = {
 def _query(spec: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = read_table(spark, sf_dir, "documents")
-        return compress.compress(docs, spec, RATIO).filter("budget is not null and compressed is not null").select("doc_id", "budget", "n_kept", "used", "positions")
+        return compress.compress(docs, spec, RATIO).select("doc_id", "budget", "n_kept", "used", "positions")
 
     return run
 
@@ -43,7 +43,7 @@ def _sql(score: str, priority: str, alpha: int) -> str:
       list({{'used': cast(0 as bigint), 'n': cast(0 as bigint), 'positions': cast(0 as bigint), 'budget': cast(budget as bigint), 'cost': cast(cost as bigint), 'pos': cast(pos as bigint)}} order by s desc, pos) filter (where run > budget) as rest from r group by doc_id),
     two as (select doc_id, list_reduce(list_prepend({{'used': cast(used as bigint), 'n': cast(n as bigint), 'positions': cast(positions as bigint), 'budget': cast(budget as bigint), 'cost': cast(0 as bigint), 'pos': cast(0 as bigint)}}, coalesce(rest, [])),
       lambda acc, x: case when acc.used + x.cost <= acc.budget then {{'used': acc.used + x.cost, 'n': acc.n + 1, 'positions': acc.positions + x.pos, 'budget': acc.budget, 'cost': acc.cost, 'pos': acc.pos}} else acc end) as f from one)
-    select doc_id, f.budget as budget, f.n as n_kept, f.used as used, f.positions as positions from two"""
+    select d.doc_id, coalesce(f.budget, 0) as budget, coalesce(f.n, 0) as n_kept, coalesce(f.used, 0) as used, coalesce(f.positions, 0) as positions from documents d left join two on two.doc_id = d.doc_id"""
 
 
 def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

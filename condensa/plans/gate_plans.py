@@ -230,6 +230,16 @@ _GUARDS = f"""with {_R}, shown as (select doc_id, lang from (select doc_id, lang
     union all select 'blind sheet', count(*) from (select row_number() over (partition by source, doc_id % 3 = 0 order by md5('0:' || doc_id), doc_id) as k from documents) q where k <= 5
     union all select 'verified again', count(*) filter (where lower(text) is not distinct from lower(replace(text, 'zz', 'z'))) from sm"""
 
+def distill_reasons(spark, sf_dir):
+    """Reasons and summaries of label pairs drawn from the result rows, by ratio."""
+    rows = results(spark, sf_dir).filter("method = 'teacher'").select("ratio", (F.col("id") % 11 > 0).alias("known"), (F.col("id") % 13 > 0).alias("segmented"), F.when(F.col("h") % 31 > 0, "x").alias("compressed"), (F.col("h") % 40 / 300).alias("unmatched_ratio"), (F.col("h") / 1000).alias("keep_rate"), (F.col("h") % 5).alias("n_partial"), (F.col("h") % 7).alias("n_full"))
+    own = gates.distillation_summary(rows, ["ratio"])
+    return own.select("ratio", "reason", "n", *[F.round(c, 6).alias(c) for c in ("cbr_mean", "cbr_pooled", "keep_mean")])
+
+
+_DISTILL = f"""with {_R}, q as (select ratio, h, h % 5 as p, h % 7 as f, case when id % 11 = 0 then 'not a paragraph' when id % 13 = 0 then 'no segmentation' when h % 31 = 0 or h % 40 / 300e0 > 0.1 then 'rewritten' when h / 1000e0 > 0.9 then 'not compressed' else 'kept' end as reason from r where method = 'teacher')
+    select ratio, reason, count(*) as n, round(avg(p * 1e0 / nullif(p + f, 0)), 6) as cbr_mean, round(sum(p) * 1e0 / nullif(sum(p + f), 0), 6) as cbr_pooled, round(avg(h / 1000e0), 6) as keep_mean from q group by ratio, reason"""
+
 #: What has to be there, known beforehand: a source that is wholly missing shows.
 REQUIRED = [(s, x) for s in ("src0", "src1", "src2", "books") for x in ("en", "de", "it")]
 
@@ -242,5 +252,5 @@ def eval_coverage(spark, sf_dir):
 _COVERAGE = f"""select q.s as source, q.l as split, count(d.doc_id) as n_rows, count(*) filter (where d.doc_id is not null and coalesce(d.text, '') = '') as n_blank, count(d.doc_id) = 0 as missing
     from (values {", ".join(f"('{s}', '{x}')" for s, x in REQUIRED)}) q(s, l) left join documents d on d.source = q.s and d.lang = q.l group by q.s, q.l"""
 
-QUERIES = {f.__name__: f for f in (eval_coverage, token_cost_profile, budget_adherence_cells, paired_budget_gaps, best_of_classes, one_row_gates, precheck, detector_by_tier, broken_words, mask_comparison, recovered_words, guards)}
-ORACLE_SQL = {"eval_coverage": _COVERAGE, "budget_adherence_cells": _ADHERENCE, "paired_budget_gaps": _GAPS, "best_of_classes": _BEST, "one_row_gates": _ONE, "precheck": _PRECHECK, "detector_by_tier": _TIER, "broken_words": _BROKEN, "mask_comparison": _COMPARE, "recovered_words": _RECOVERED, "guards": _GUARDS}
+QUERIES = {f.__name__: f for f in (eval_coverage, distill_reasons, token_cost_profile, budget_adherence_cells, paired_budget_gaps, best_of_classes, one_row_gates, precheck, detector_by_tier, broken_words, mask_comparison, recovered_words, guards)}
+ORACLE_SQL = {"eval_coverage": _COVERAGE, "distill_reasons": _DISTILL, "budget_adherence_cells": _ADHERENCE, "paired_budget_gaps": _GAPS, "best_of_classes": _BEST, "one_row_gates": _ONE, "precheck": _PRECHECK, "detector_by_tier": _TIER, "broken_words": _BROKEN, "mask_comparison": _COMPARE, "recovered_words": _RECOVERED, "guards": _GUARDS}

@@ -89,8 +89,8 @@ _MASKS = f"""with s as (select doc_id, unnest(l) as w, generate_subscripts(l, 1)
     n as (select *, lower(w) as low, lag(lower(w), 1, '') over (partition by doc_id order by pos) as p, lead(lower(w), 1, '') over (partition by doc_id order by pos) as q, regexp_matches(w, '\\p{{Nd}}') as digit,
       case when (pos - 1) % 5 = 0 then w || ' x' || (pos - 1) else w end as word from s)
     select d.doc_id, count(*) filter (where digit or low in ('not', 'no', 'if', 'was', 'more') or p || ' ' || low in ('in the', 'of the') or low || ' ' || q in ('in the', 'of the')) as n_string,
-      count(*) filter (where digit or low in ('not', 'no', 'if', 'was', 'more')) as n_naive, cast(coalesce(sum(case when length(word) > 5 then 1 + (pos - 1) % 5 * 0 + case when (pos - 1) % 5 = 0 then 1 else 0 end else 0 end), 0) as bigint) as n_spread,
-      cast(coalesce(sum(case when (pos - 1) % 5 = 0 then 2 else 1 end), 0) as bigint) as n_syllables from {_DOCS} d left join n on n.doc_id = d.doc_id group by d.doc_id"""
+      count(*) filter (where digit or low in ('not', 'no', 'if', 'was', 'more')) as n_naive, cast(coalesce(sum(case when length(word) > 5 then 1 + case when (pos - 1) % 5 = 0 then 1 else 0 end else 0 end), 0) as bigint) as n_spread,
+      cast(coalesce(sum(case when (pos - 1) % 5 = 0 then 2 when pos is not null then 1 end), 0) as bigint) as n_syllables from {_DOCS} d left join n on n.doc_id = d.doc_id group by d.doc_id"""
 
 
 def normalize_tones(spark, sf_dir):
@@ -115,6 +115,11 @@ def _method(spec):
     return lambda spark, sf_dir: _kept(compress.compress(read_table(spark, sf_dir, "documents"), spec, RATIO))
 
 
+def compress_trimmed(spark, sf_dir):
+    """Leading words, trimmed to a length that is three tokens more than its words."""
+    return _kept(compress.compress(read_table(spark, sf_dir, "documents"), "lead", RATIO, length=lambda texts: [3 + sum(compress.quarters(t.split())) for t in texts]))
+
+
 _SENT = DUCK.replace("coalesce(text, '')", r"([.!?])\s+", "#1\x01")
 _S = f"""s as (select doc_id, unnest(l) as body, generate_subscripts(l, 1) as sent from (select doc_id, string_split_regex({_SENT}, chr(1)) as l from documents)),
     u0 as (select doc_id, sent, unnest(l) as val, generate_subscripts(l, 1) as p from (select doc_id, sent, {DUCK.find_all("body", r"([^\s\x0b\x1c-\x1f\x85\p{Z}]+)")} as l from s)),
@@ -333,7 +338,7 @@ QUERIES = {
     "protected_words": protected_words, "force_lists": force_lists, "force_masks": force_masks, "normalize_tones": normalize_tones,
     "compress_tfidf_sentences": _method("tfidf_sent"), "compress_ppl_sentences": _method("ppl_sent"), "compress_selective_context": _method("selective_context"), "tfidf_sentence_scores": sentence_scores,
     "lexprior_fit": lexprior_rates, "compress_lexprior": compress_lexprior, "compress_precomputed": compress_precomputed, "compress_translated": compress_translated,
-    "compress_lead": _method("lead"), "compress_truncation": _method("truncation"),
+    "compress_trimmed": compress_trimmed, "compress_lead": _method("lead"), "compress_truncation": _method("truncation"),
     "token_and_punct_profile": token_and_punct_profile, "budget_and_adherence": budget_and_adherence, "negation_probe": negation_probe, "unique_text_fanout": unique_text_fanout,
     "paired_cluster_bootstrap": paired_cluster_bootstrap, "crossed_seed_cluster_bootstrap": crossed_seed_cluster_bootstrap, "non_inferiority": non_inferiority, "mde_projected": mde_projected, "clustered_slope": clustered_slope,
     "flip_rate_test": flip_rate_test, "mde_cells": mde_cells, "factorial_test": factorial_test, "holm_by_family": holm_by_family,
@@ -343,6 +348,7 @@ ORACLE_SQL = {
     "protected_words": _PROTECTED, "force_lists": _FORCE, "force_masks": _MASKS, "normalize_tones": _TONES,
     "compress_tfidf_sentences": f"with {_S}, {_TFIDF}, {_PICK} {_KEPT}", "compress_ppl_sentences": f"with {_S}, {_PPL}, {_PICK} {_KEPT}", "compress_selective_context": _SELECTIVE,
     "lexprior_fit": f"with {_RATES} select word, seen, kept, round(rate, 9) as rate from rates", "compress_lexprior": f"{_LEXPRIOR}", "compress_precomputed": _PRE, "compress_translated": _TRANSLATED,
+    "compress_trimmed": f"with r as (select *, sum(cost) over (partition by doc_id order by pos rows unbounded preceding) + case when budget >= 3 then 3 else 10000000 end as run from {_units(DUCK)} u) {_KEPT}",
     "compress_lead": f"with r as (select *, sum(cost) over (partition by doc_id order by pos rows unbounded preceding) as run from {_units(DUCK)} u) {_KEPT}",
     "compress_truncation": f"with r as (select *, sum(cost) over (partition by doc_id order by least(pos, n - 1 - pos), pos rows unbounded preceding) as run from {_units(DUCK)} u) {_KEPT}",
     "token_and_punct_profile": _PROFILE, "budget_and_adherence": _BUDGET, "negation_probe": _NEGATION, "unique_text_fanout": _FANOUT,

@@ -34,13 +34,6 @@ def word_pooling(d):
     select doc_id, count(*) as n_words, round(avg(1 / (1 + exp(-logit))), 5) as mean_keep, count(*) filter (where logit > 0) as n_kept from w group by doc_id"""
 
 
-def distill_reasons(d):
-    """Quality filter of label pairs, first reason that holds, with counts a source."""
-    return f"""
-    with x as (select d.source, case when l.doc_id is null then 'no label' when coalesce(d.text, '') = '' then 'empty' when l.toxic = 1 then 'unmatched' when l.quality = 0 then 'not compressed' else 'kept' end as reason from {d.t("documents")} d left join {d.t("labels")} l on l.doc_id = d.doc_id)
-    select source, reason, count(*) as n, round(count(*) * 1e0 / sum(count(*)) over (partition by source), 6) as share from x group by source, reason"""
-
-
 def parallel_rows_join(d):
     """Two versions of the same turns joined on two keys; the answer's number becomes a letter."""
     return f"""
@@ -71,4 +64,4 @@ def unique_clusters(d):
     return f"select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from {d.t('documents')}) x where r = 1"
 
 
-PLANS = {f.__name__: f for f in (method_families, seed_paired_rows, word_pooling, distill_reasons, parallel_rows_join, prompt_build, teacher_sizes, mask_agreement, unique_clusters)}
+PLANS = {f.__name__: f for f in (method_families, seed_paired_rows, word_pooling, parallel_rows_join, prompt_build, teacher_sizes, mask_agreement, unique_clusters)}

@@ -34,6 +34,14 @@ _CHOICE = r"""with l as (select doc_id, coalesce(text, '') as text, list_sort(li
     select 'choice-dev-' || doc_id as id, substr(md5(text), 1, 12) as cluster, array_to_string(o, '|') as choices, substr('ABCDE', g, 1) as answer, case when poem then 'poem' when g = 5 then 'no gold' when len(list_filter(o, lambda x: x = o[g])) > 1 then 'duplicate gold' end as dropped from c"""
 
 
+def poem_like_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tasks.is_poem(F.coalesce("text", F.lit(""))).alias("is_poem"))
+
+
+_POEM = r"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as s from documents), n as (select doc_id, len(regexp_extract_all(s, '\S+')) as n from l), k as (select *, row_number() over (partition by doc_id order by n) as r, count(*) over (partition by doc_id) as m from n where n > 0)
+    select d.doc_id, coalesce(bool_or(m >= 4 and r = m // 2 + 1 and n <= 10), false) as is_poem from documents d left join k on k.doc_id = d.doc_id group by d.doc_id"""
+
+
 def text_sources(spark, sf_dir):
     """Rows of the inference, news, question and paragraph sources, as digests."""
     d = _docs(spark, sf_dir)
@@ -158,5 +166,5 @@ def manifest_of_labels(spark, sf_dir):
 
 _MANIFEST = "select count(*) as n_rows, count(distinct doc_id) as n_keys, 1 + (select count(*) from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id)) as n_foreign from labels"
 
-QUERIES = {f.__name__: f for f in (choice_source, text_sources, math_source, long_source, prompts_by_task, parsed_answers, scored_answers, segmented_join, manifest_of_labels)}
-ORACLE_SQL = {"choice_source": _CHOICE, "text_sources": _SOURCES, "math_source": _MATH, "long_source": _LONG, "prompts_by_task": _PROMPTS, "parsed_answers": _PARSED, "scored_answers": _SCORED, "segmented_join": _SEGMENTED, "manifest_of_labels": _MANIFEST}
+QUERIES = {f.__name__: f for f in (choice_source, poem_like_filter, text_sources, math_source, long_source, prompts_by_task, parsed_answers, scored_answers, segmented_join, manifest_of_labels)}
+ORACLE_SQL = {"choice_source": _CHOICE, "poem_like_filter": _POEM, "text_sources": _SOURCES, "math_source": _MATH, "long_source": _LONG, "prompts_by_task": _PROMPTS, "parsed_answers": _PARSED, "scored_answers": _SCORED, "segmented_join": _SEGMENTED, "manifest_of_labels": _MANIFEST}

@@ -72,14 +72,6 @@ def sentence_prefix_truncate(d):
     select doc_id, count(*) filter (where total <= 60) as n_sentences, cast(coalesce(sum(n) filter (where total <= 60), 0) as bigint) as n_words from run group by doc_id"""
 
 
-def poem_like_filter(d):
-    return f"""
-    with l as {d.explode(f"select doc_id, {d.split("coalesce(text, '')", chr(10))} as ls from {d.t('documents')}", "ls", "line", "val")},
-    c as (select doc_id, line, cast({d.size(d.find_all("val", r"(\S+)"))} as bigint) as n from l),
-    k as (select doc_id, n, row_number() over (partition by doc_id order by n, line) as r, count(*) over (partition by doc_id) as m from c where n > 0)
-    select doc_id, max(m) as n_lines, max(case when r = cast(floor(m / 2e0) as bigint) + 1 then n end) as upper_median, max(m) >= 4 and max(case when r = cast(floor(m / 2e0) as bigint) + 1 then n end) <= 10 as is_poem from k group by doc_id"""
-
-
 def _units(d: SparkSQL) -> str:
     """doc_id, pos (from 0), val, cost, n (units), total, budget."""
     sub = d.explode(f"select doc_id, {d.find_all("coalesce(text, '')", r'(\S+)')} as ws from {d.t('documents')}", "ws")
@@ -194,4 +186,4 @@ def full_match_check(d):
     from {d.t("documents")} a full outer join {d.t("labels")} b on b.doc_id = a.doc_id"""
 
 
-PLANS = {f.__name__: f for f in (leak_flags_with_precedence, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, poem_like_filter, compress_none_nocontext, tfidf_sentence_scores, protection_tiers, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}
+PLANS = {f.__name__: f for f in (leak_flags_with_precedence, stratified_md5_sample, entity_split, kshot_demo_sample, sentence_prefix_truncate, compress_none_nocontext, tfidf_sentence_scores, protection_tiers, detector_prf, rouge_2, qa_f1, string_recall, parse_predictions, normalize_numbers, html_detokenize, exclusion_primary_vs_full, content_fingerprint_guard, dq_key_uniqueness, dq_subset, full_match_check)}

@@ -156,6 +156,8 @@ def test_guards(spark):
     ids = spark.createDataFrame([("news-12",), ("vn:12",), ("zz",)], "k string").select(gates.guid(F.col("k"), ["news-", "vn:"]).alias("g")).collect()
     assert [r.g for r in ids] == ["12", "12", None]
     review = spark.createDataFrame([(0.3, "a", 0.2, 0.5, 1, 3), (0.3, "", 0.0, 0.95, 0, 0)], "ratio double, compressed string, unmatched_ratio double, keep_rate double, n_partial int, n_full int")
+    assert gates.stage_problems({"reader": "r", "margin": 1.0, "files": {"a": "1", "b": "2", "c": "3"}}, "r", {1.0}, {"a": "1", "b": "x"}) == ["b is not as committed", "c is missing"]
+    assert len(gates.stage_problems({}, "r", {1.0}, {})) == 2
     r = gates.teacher_review(review, ["ratio"]).first()
     assert (r.n, r.n_empty, r.rewritten, r.not_compressed, r.cbr) == (2, 1, 0.5, 0.5, 0.25) and math.isclose(r.keep_sd, 0.225)
 
