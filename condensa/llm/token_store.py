@@ -101,17 +101,23 @@ def encode_segment(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray)
     return _pad8(head) + ef.to_bytes() + numbers.tobytes() + ids.tobytes()
 
 
-def decode_segment(blob: bytes):
-    """(doc ids, Elias-Fano boundaries, id array) of a blob; the id array is a view of it."""
+def _views(blob: bytes):
+    """(doc ids as numbers, how many of the first are null, Elias-Fano boundaries, id array) of a blob, as views of it."""
     magic, width, n, total, nulls, low_bits = _HEAD.unpack_from(blob)
     if magic != b"CTS1":
         raise ValueError("not a token segment")
     at = len(_pad8(bytes(_HEAD.size)))
     ef, used = EliasFano.from_bytes(n, low_bits, memoryview(blob)[at:])
     at += used
-    docs = np.frombuffer(blob, "<i8", n, at).tolist()
+    return np.frombuffer(blob, "<i8", n, at), nulls, ef, np.frombuffer(blob, f"<u{width}", total, at + 8 * n)
+
+
+def decode_segment(blob: bytes):
+    """(doc ids, Elias-Fano boundaries, id array) of a blob; the id array is a view of it."""
+    numbers, nulls, ef, ids = _views(blob)
+    docs = numbers.tolist()
     docs[:nulls] = [None] * nulls
-    return docs, ef, np.frombuffer(blob, f"<u{width}", total, at + 8 * n)
+    return docs, ef, ids
 
 
 def _segments(path: str, end_id: int, most: int):
@@ -191,3 +197,23 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
 
     joined = store.join(F.broadcast(bases), "part").select("blob", "base", "part_start")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def fetch_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit) of every stored row of these documents. A segment is looked into by bisection, and a row's
+    ends come from two selects, so no other boundary is decoded. An id that is not there gives no row."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for blob in batch.column(0).to_pylist():
+                numbers, nulls, ef, ids = _views(blob)
+                for d in wanted.tolist():
+                    lo, hi = (nulls + int(np.searchsorted(numbers[nulls:], d, side)) for side in ("left", "right"))
+                    for i in range(lo, hi):
+                        begin = ef.select(i - 1) if i else 0
+                        rows.append((d, ids[begin : ef.select(i)].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])
+
+    return spark.read.schema(_SCHEMA).parquet(path).select("blob").mapInArrow(run, "doc_id long, ids binary")

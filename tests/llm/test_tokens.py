@@ -78,6 +78,9 @@ def test_store(spark, sf, tmp_path):
     assert spark.read.parquet(path).count() > 1
     rows = [(None, "no id")] + sorted(((i, t) for i, t in enumerate(ODD)), key=lambda x: x[0])
     check_store(got, rows[:5] + [(3, "\n"), (3, "\n")] + rows[5:])
+    some = token_store.fetch_documents(spark, path, [3, 12, 99, 3]).collect()
+    lib = library("byte_bpe_50k.json")
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in some) == sorted((d, [*lib(t), 2]) for d, t in rows[:5] + [(3, "\n"), (3, "\n")] + rows[5:] if d in (3, 12))
     empty = token_store.write_token_store(odd_docs(spark).limit(0), public_tokenizers.path("byte_bpe_50k.json"))
     assert token_store.read_token_store(spark, empty).count() == 0
 
