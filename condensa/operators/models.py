@@ -7,6 +7,7 @@ row-local (one Arrow batch at a time), so a lost executor costs its own batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 from typing import Any, Protocol
 
 import numpy as np
@@ -21,8 +22,8 @@ from condensa.streaming.incremental import fan_out
 from . import selection
 from .compress import budget_of, quarters
 
-#: Rows that a model gets at once.
-AT_ONCE = 256
+#: Rows that a model gets at once; words that an encoder gets at once.
+AT_ONCE, WORDS_AT_ONCE = 256, 512
 WORDS = "array<struct<text:string,pos:string,ner:string>>"
 _TOKEN, _METRIC = regex.compile(TOKEN), regex.compile(METRIC)
 
@@ -50,7 +51,7 @@ def first_line_reader(prompts: list[str], max_new_tokens: int) -> list[str]:
 
 
 def one_hot_encoder(texts: list[list[str]]) -> list[np.ndarray]:
-    """Built in: a dimension a distinct word of these texts."""
+    """Built in: a dimension a distinct word of these texts, so memory grows with the square of a call's words."""
     at = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
     out = []
     for t in texts:
@@ -120,9 +121,23 @@ def ask_teacher(work: DataFrame, done: DataFrame | None, call: Callable[[str, fl
     return keyed.select("id", "h", "ratio").join(made, ["h", "ratio"]).select("id", "ratio", "compressed", "error")
 
 
-def similarity_f1(pairs: DataFrame, key: list[str], encoder: Encoder = one_hot_encoder, most: int = 256) -> DataFrame:
+def _calls(pairs: Iterable[tuple[list[str], list[str]]], at_once: int):
+    """Lists of consecutive pairs of at most at_once words together; a pair of more is one by itself."""
+    some, n = [], 0
+    for a, b in pairs:
+        if some and n + len(a) + len(b) > at_once:
+            yield some
+            some, n = [], 0
+        some.append((a, b))
+        n += len(a) + len(b)
+    if some:
+        yield some
+
+
+def similarity_f1(pairs: DataFrame, key: list[str], encoder: Encoder = one_hot_encoder, most: int = 256, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """key, f1 of pairs (key, pred, gold): each word meets its most similar one on the other side, by the cosine of their vectors; precision over
-    the prediction's words, recall over the gold's. The model reads the first `most` words of a side (what it can take). 0 where a side is empty."""
+    the prediction's words, recall over the gold's. The model reads the first `most` words of a side (what it can take). 0 where a side is empty.
+    A call of the encoder holds whole pairs, of at most `at_once` words unless one pair has more: a model of few dimensions may be given many more."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*key).schema) + ", f1 double"
 
     def score(a: np.ndarray, b: np.ndarray) -> float:
@@ -135,10 +150,12 @@ def similarity_f1(pairs: DataFrame, key: list[str], encoder: Encoder = one_hot_e
 
     def run(batches):
         for some in _chunks(batches):
-            words = [[_METRIC.findall((t or "").lower())[:most] for t in some.column(len(key) + side).to_pylist()] for side in (0, 1)]
-            both = encoder(words[0] + words[1])
-            n = len(words[0])
-            yield pa.RecordBatch.from_arrays([*some.columns[: len(key)], pa.array([score(both[i], both[n + i]) for i in range(n)])], [*key, "f1"])
+            words = ([[m.group() for m in islice(_METRIC.finditer((t.as_py() or "").lower()), most)] for t in pair] for pair in zip(*some.columns[len(key) :], strict=True))
+            f1 = []
+            for call in _calls(words, at_once):
+                both = encoder([a for a, _ in call] + [b for _, b in call])
+                f1 += [score(a, b) for a, b in zip(both[: len(call)], both[len(call) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*some.columns[: len(key)], pa.array(f1, pa.float64())], [*key, "f1"])
 
     return pairs.select(*key, "pred", "gold").mapInArrow(run, schema)
 

@@ -218,3 +218,27 @@ def test_models(spark, tmp_path):
     assert [r.m for r in spark.read.json(str(tmp_path / "r")).collect()] == ["a", "b"]
     ties = spark.createDataFrame([("g", "x", 1.0), ("g", "y", 1.0), ("h", "z", None)], "g string, m string, s double")
     assert [tuple(r) for r in reports.best_per_group(ties, ["g"], "s", "m").collect()] == [("g", "y", 1.0)]
+
+
+def test_similarity_calls_stay_small(spark):
+    """The encoder gets whole pairs of few words at once, so that the built-in vectors don't grow with the words of a batch; the scores are those of words held."""
+    from condensa.operators import models
+
+    text = lambda k, n: " ".join(f"w{k * 30 + i}" for i in range(n))
+    rows = [(k, text(k, 60), text(k + 1, 60)) for k in range(40)] + [(40, None, "w1"), (41, "", ""), (42, "W1 w1, w2", "w1"), (43, text(0, 300), text(2, 300)), (44, text(9, 1), "x " * 100_000)]
+    pairs = spark.createDataFrame(rows, "k long, pred string, gold string").coalesce(1)
+
+    def small(texts):
+        words = sum(map(len, texts))
+        assert words <= 512 or len(texts) == 2, f"{words} words of {len(texts)} texts at once"
+        return models.one_hot_encoder(texts)
+
+    def held(a, b):
+        a, b = ([w.strip(",") for w in (t or "").lower().split()][:256] for t in (a, b))
+        p, r = (sum(w in y for w in x) / max(1, len(x)) for x, y in ((a, b), (b, a)))
+        return 2 * p * r / (p + r) if p + r else 0.0
+
+    want = {k: held(a, b) for k, a, b in rows}
+    assert {r.k: r.f1 for r in models.similarity_f1(pairs, ["k"], small).collect()} == pytest.approx(want)
+    assert {r.k: r.f1 for r in models.similarity_f1(pairs, ["k"], at_once=1).collect()} == pytest.approx(want)
+    assert 0 < want[0] < 1 and want[42] == pytest.approx(0.8) and models.similarity_f1(pairs.limit(0), ["k"]).count() == 0
